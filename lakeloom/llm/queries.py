@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe_automaton, language_profiles, simhash, token_shards
+from lakeloom.llm import audio_features, bm25_decontamination, bpe_automaton, factorisation_machine, language_profiles, mincut_extraction, simhash, token_shards
 
 QUERIES = {
+    "op1_audio_features": audio_features.op1_audio_features,
+    "op3_mincut_extraction": mincut_extraction.op3_mincut_extraction,
     "op4_bpe_automaton": bpe_automaton.op4_bpe_automaton,
     "op5_token_shards": token_shards.op5_token_shards,
+    "op6_factorisation_machine": factorisation_machine.op6_factorisation_machine,
     "op7_simhash_bktree": simhash.op7_simhash_bktree,
+    "op8_bm25_decontamination": bm25_decontamination.op8_bm25_decontamination,
     "op9_language_profiles": language_profiles.op9_language_profiles,
 }
 SQL: dict[str, str] = {}
