@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of whole texts that travel to a Python worker at once.
 ROWS_PER_BATCH = 512
@@ -69,6 +70,26 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, rows: Callable[...
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def with_columns(df: DataFrame, inputs: list[str], added: str, rows: Callable[..., list]) -> DataFrame:
+    """df and the columns `added`, made by rows(*lists of inputs) for each Arrow batch; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = arrow_schema(added)
+        for batch in batches:
+            made = rows(*(batch.column(c).to_pylist() for c in inputs))
+            arrays = [pa.array(v, type=f.type) for v, f in zip(made, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=pa.schema([*batch.schema, *new]))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(added).fields]))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """Of flat "name type, ..." lists, with array<...> of the same kinds."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}

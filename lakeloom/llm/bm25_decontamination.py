@@ -24,10 +24,12 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,14 +217,10 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     one index are measured before they are collected; more of them go into further indexes.
     """
     C.small_batches(df.sparkSession)
-    items = items.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    n = 1 + int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // index_bytes)
     kind = dict(df.dtypes)[id_col].replace("bigint", "long")
     schema = f"{id_col} {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long, end_word long"
     out = None
-    for shard in range(n):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == shard) if n > 1 else items
-        index = df.sparkSession.sparkContext.broadcast(build_index(sorted((r.item, r.text) for r in part.collect()), threshold))
+    for index in indexes(items, item_col, item_text_col, threshold, index_bytes):
 
         def rows(keys, texts, index=index):
             ix, got = index.value, []
@@ -235,6 +233,24 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
+def indexes(items: DataFrame, item_col: str, text_col: str, threshold: float, index_bytes: int) -> Iterator[Broadcast]:
+    """Broadcast indexes of all items, each over about index_bytes of text; that is measured before they are collected."""
+    spark = items.sparkSession
+    items = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    n = 1 + int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // index_bytes)
+    for shard in range(n):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == shard) if n > 1 else items
+        rows = sorted(((r.item, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield spark.sparkContext.broadcast(build_index(rows, threshold))
+
+
+def count_leaks(df: DataFrame, items: DataFrame, count_col: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """df and count_col, a name that it doesn't have: how many test items its row holds; nothing is shuffled."""
+    C.small_batches(df.sparkSession)
+    shared = list(indexes(items, item_col, item_text_col, threshold, index_bytes))
+    return C.with_columns(df, [text_col], f"{count_col} int", lambda texts: [[sum(len(matches(ix.value, t, threshold)) for ix in shared) for t in texts]])
+
+
 def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All test items that documents hold."""
     return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))

@@ -144,6 +144,18 @@ def predict_languages(df: DataFrame, profiles: dict[str, np.ndarray], id_col: st
     return C.per_batch(df, [id_col, text_col], f"{id_col} {kind}, lang_pred string, score double", rows)
 
 
+def add_languages(df: DataFrame, profiles: dict[str, np.ndarray], lang_col: str, score_col: str, text_col: str = "text") -> DataFrame:
+    """df and the columns of predict_languages(), under names that df doesn't have; nothing is shuffled."""
+
+    def rows(texts):
+        model = Profiles(profiles)
+        found = [model.predict(t) for t in texts]
+        return [[f[0] for f in found], [f[1] for f in found]]
+
+    C.small_batches(df.sparkSession)
+    return C.with_columns(df, [text_col], f"{lang_col} string, {score_col} double", rows)
+
+
 def fold(id_col: str, of: int):
     """crc32 of the id as text, modulo `of`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % of

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import audio_features, bm25_decontamination, bpe_automaton, factorisation_machine, language_profiles, mincut_extraction, simhash, token_shards
+import corpus_pipeline
+from lakeloom.llm import audio_features, bm25_decontamination, bpe_automaton, factorisation_machine, language_profiles, license_scan, mincut_extraction, pii_surrogates, simhash, token_shards
 
 QUERIES = {
     "op1_audio_features": audio_features.op1_audio_features,
+    "op2_pii_surrogates": pii_surrogates.op2_pii_surrogates,
     "op3_mincut_extraction": mincut_extraction.op3_mincut_extraction,
     "op4_bpe_automaton": bpe_automaton.op4_bpe_automaton,
     "op5_token_shards": token_shards.op5_token_shards,
@@ -13,5 +15,7 @@ QUERIES = {
     "op7_simhash_bktree": simhash.op7_simhash_bktree,
     "op8_bm25_decontamination": bm25_decontamination.op8_bm25_decontamination,
     "op9_language_profiles": language_profiles.op9_language_profiles,
+    "op10_license_scan": license_scan.op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {}
