@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,14 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakeloom.tables import shared_folder, table  # noqa: F401
+
 #: Rows of whole texts that travel to a Python worker at once.
 ROWS_PER_BATCH = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Before a Python stage: texts can be long, so Arrow batches hold few rows; workers get this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -39,17 +36,6 @@ def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
 _shipped: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors see.
-
-    Only where the session names none (as in tests) a folder of this machine is set.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lakeloom-"))
-    return f"{sc.getCheckpointDir()}/lakeloom-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and rereads it, which cuts its lineage."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)

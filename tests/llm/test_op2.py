@@ -1,0 +1,81 @@
+import re
+
+from pyspark.sql import functions as F
+
+from lakeloom.llm import pii_surrogates as A
+from tests.llm import cases
+
+
+def replaced(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [r.text for r in A.replace_entities(df, key).orderBy("doc_id").collect()]
+
+
+def test_formats_types_and_coreference(spark):
+    a, b, c = replaced(
+        spark,
+        [
+            "Mail Ana.Li@corp.co.uk or ana.li@CORP.co.uk, call +1 (017) 555-7713 or (017) 555-7713; card 4111 1111 1111 1111 or 4111-1111-1111-1111.",
+            "Mr. John Smith met Mrs. Jane SMITH. Later Smith left. Госпожа Анна Иванова и Иванова. DE89 3704 0044 0532 0130 00",
+            'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 152.143.123.131### 4785380592391139$$$ 123-45-6789',
+        ],
+    )
+    mails = re.findall(r"\S+@[\w.]+\.example", a)
+    assert len(mails) == 2 and mails[0] == mails[1] and "corp" not in a.lower()
+    phones = re.findall(r"\(\d{3}\) \d{3}-\d{4}", a)
+    assert len(phones) == 2 and phones[0] == phones[1] and "+1 (" in a and "555-7713" not in a
+    cards = re.findall(r"\d{4}([ -])(\d{4})\1(\d{4})\1(\d{4})", a)
+    assert cards[0][1:] == cards[1][1:] and "1111 1111" not in a
+    number = re.sub(r"\D", "", re.search(r"card ([\d ]+) or", a)[1])
+    assert sum(int(d) if i % 2 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(number)) % 10 == 0
+    m = re.match(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. Later (\w+) left\. Госпожа (\w+) (\w+) и (\w+)\. DE", b)
+    assert m and m[2] == m[5] == m[4].capitalize() and m[4].isupper() and m[7] == m[8]
+    assert re.search("[аеиоу]", m[6]) and m[6][-1] == "а" or m[6][-1] == "я"
+    assert re.search(r'token = "[0-9a-f]{40}" 2[45]\d\.\d+\.\d+\.\d+### 4\d{15}\$\$\$ 9\d\d-\d\d-\d{4}$', c)
+
+
+def test_keys_matter_and_runs_repeat(spark):
+    text = ["a.b@mail7.example.com 4785380592391139"]
+    assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, "other")
+
+
+def test_collisions_are_resolved(spark, monkeypatch):
+    """With so few surrogates that most collide, entities keep distinct ones, none of them an entity."""
+    real = A.candidate
+    narrow = lambda kind, canon, attempt, key: F.concat(F.lit("00"), F.lpad((F.abs(F.xxhash64(canon, attempt)) % 60).cast("string"), 2, "0"))
+    monkeypatch.setattr(A, "candidate", narrow)
+    entities = spark.createDataFrame([("card", f"00{i:02d}") for i in range(25)] * 2, "kind string, canon string")
+    got = A.assign(entities, "k").collect()
+    monkeypatch.setattr(A, "candidate", real)
+    assert len(got) == 25 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {r.canon for r in got}
+
+
+def test_hard_cases(spark):
+    df = cases.frame(spark, [*cases.TEXTS, (9, "x@mail1.example.com " * 3000)]).withColumn("n_entities", F.lit("mine")).withColumn("pii_row", F.lit(1))
+    out = A.replace_entities(df, "k")
+    assert set(out.columns) == set(df.columns)
+    rows = out.collect()
+    assert len(rows) == 11 and sum(r.n_entities for r in rows) == 3000
+    assert cases.keyed([r.text for r in rows if r.doc_id != 9]) == cases.keyed([t for _, t in cases.TEXTS])
+    assert "mail1" not in next(r.text for r in rows if r.doc_id == 9)
+    assert A.replace_entities(df.limit(0), "k").count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    plan = A.op2_pii_surrogates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_all_kinds_of_the_documents_are_replaced(spark):
+    sf = "/root/testdata/sf0.001"
+    before = {r.doc_id: r.text for r in cases.documents(spark).collect()}
+    after = {r.doc_id: r.text for r in A.op2_pii_surrogates(spark, sf).collect()}
+    kinds = [r"[\w.+-]+@mail\d+\.example\.com", r"\+1 \(\d{3}\) 555-\d{4}", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"\b\d{16}\b", r'"[0-9a-f]{40}"']
+    hits = 0
+    for i, text in before.items():
+        for found in re.findall("|".join(kinds), text):
+            hits += 1
+            assert found not in after[i]
+        if not re.search("[@0-9]", text):
+            assert after[i] == text
+    assert hits
