@@ -42,8 +42,8 @@ WINDOW, STRIDE, PART = 128, 64, 64
 SHINGLE_WORDS, OVERLAP = 5, 0.8
 #: Postings of a block; bytes of items in one broadcast index (more items: more indexes, one after the other).
 BLOCK, INDEX_BYTES = 32, 32 << 20
-#: Sums of windows and parts that are kept as one array; more of them by sorting.
-DENSE = 1 << 16
+#: Cells of an array of sums by window and part, for each posting that is summed; if there were more, sums are made by sorting.
+DENSE = 64
 
 WORDS = re.compile(r"\w+")
 
@@ -180,7 +180,7 @@ def promising(ix: Index, terms: np.ndarray, threshold: float) -> np.ndarray:
         keys.append((window * len(ix.part_item) + part)[inside])
         values.append(weight[inside])
     keys, values, least = np.concatenate(keys), np.concatenate(values), threshold / 2 - 1e-6
-    if (last + 1) * len(ix.part_item) <= max(DENSE, 4 * len(keys)):
+    if (last + 1) * len(ix.part_item) <= DENSE * (len(keys) + 1):
         good = np.flatnonzero(np.bincount(keys, values) >= least)
     else:
         keys, where = np.unique(keys, return_inverse=True)
