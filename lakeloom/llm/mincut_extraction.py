@@ -33,7 +33,7 @@ UNSEEN = frozenset("title head select option datalist button textarea noscript t
 #: Elements that speak against all that is below, whatever it is; those that do unless an article comes below; those that speak for it.
 NEVER, OUTSIDE, WITHIN = frozenset("nav menu footer aside".split()), frozenset("form header fieldset".split()), frozenset("article main".split())
 #: Words of class, id and role names that speak against or for what is below.
-AGAINST = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright dialog disclaimer discussion disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup privacy promo promoted promotion recommended related replies reply search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets".split())
+AGAINST = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup privacy promo promoted promotion recommended related replies reply search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets".split())
 FOR = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
 #: Those of them that hold for an article element itself.
 AGAINST_ARTICLES = frozenset("ad ads advertisement comment promo promoted related reply sponsored teaser widget".split())

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import _common as C
 
-#: Words of a shingle, differing bits of a link, blocks of the shard keys.
-SHINGLE_WORDS, RADIUS, BLOCKS = 3, 3, 4
+#: Words of a shingle, differing bits of a link.
+SHINGLE_WORDS, RADIUS = 3, 3
+#: Fingerprints of a shard that are aimed at, were they random.
+AIM = 512
 #: Fingerprints of one part of a shard; members of a BK-tree's leaf; shingles hashed at once.
 SHARD_ROWS, LEAF, CHUNK = 8_192, 48, 1 << 16
 
@@ -117,12 +119,20 @@ def shard_key(chosen: tuple[int, ...], blocks: int) -> Column:
     return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(n: int, radius: int) -> int:
+    """Blocks for n fingerprints: more of them make longer shard keys, so smaller shards, but more copies (blocks over radius).
+
+    The fewest with which a shard of random fingerprints has AIM members at most; every choice finds the same links.
+    """
+    return next((b for b in range(radius + 1, 3 * radius + 4) if n <= AIM << (64 * (b - radius) // b)), 3 * radius + 4)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(src long, dst long): links between distinct fingerprints (fps: fp long, distinct) that connect all within `radius`.
 
-    blocks must be over radius; more of them make smaller shards and more copies (as many as there are
-    choices of blocks - radius of them). The links connect the same components as all pairs would.
+    They connect the same components as all pairs would. blocks: blocks_for() the number of fingerprints, if not given.
     """
+    blocks = blocks or blocks_for(fps.count(), radius)
     choices = list(combinations(range(blocks), blocks - radius))
     dealt = fps.select("fp", F.posexplode(F.array(*(shard_key(c, blocks) for c in choices))).alias("choice", "key"))
     sizes = dealt.groupBy("choice", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -169,7 +179,7 @@ def forests(tasks: np.ndarray, values: np.ndarray, radius: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[b])], ["src", "dst"])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(id_col, fp long, component_id) of every row: component_id is the smallest id that can be reached by links.
 
     Null and empty texts have fingerprint 0 and are one group; equal texts are one group; repeated rows

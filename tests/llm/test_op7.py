@@ -72,6 +72,11 @@ def test_clusters_hot_shards_and_split_parts(spark, monkeypatch, radius, blocks,
     assert all(len(v) == 1 for v in got.values()) and len(set().union(*got.values())) == len(got)
 
 
+def test_longer_keys_for_more_fingerprints():
+    assert [A.blocks_for(n, 3) for n in (0, 10**6, 3 * 10**7, 10**9, 10**12, 10**13)] == [4, 4, 4, 5, 6, 7]
+    assert all(n <= A.AIM << (64 * (b - 3) // b) for n in (10**8, 10**10, 10**11) for b in [A.blocks_for(n, 3)])
+
+
 def test_bk_tree_finds_all_within_the_radius():
     rng = np.random.default_rng(4)
     fps = rng.integers(0, 1 << 63, 500).astype(np.uint64)
