@@ -77,7 +77,7 @@ def cosines(spark: SparkSession, texts: DataFrame, templates: dict[str, list[str
     weighed = words.join(known, "word", "left").select("key", "word", weight.alias("w"))
     norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     dots = weighed.join(table, "word").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    scored = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")))
     return scored.groupBy("key").agg(best.alias("best")).select("key", "best.license", (-F.col("best.less")).alias("score"))
 
@@ -127,3 +127,30 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document; a document's directory is its source and language."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", document_path(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("path"))
     return scan(docs).select("doc_id", "path", "license", "license_score", "license_from")
+
+
+def oracle() -> str:
+    """The query in DuckDB's SQL."""
+    model = Templates(TEMPLATES)
+    rows = ", ".join(f"({n}, '{name}', '{w}', {share!r}, {idf!r})" for n, name, w, share, idf in model.rows)
+    return f"""
+    WITH docs AS (SELECT doc_id, text, source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS dir, md5(text) AS key, regexp_matches(text, '{TRIGGER}') AS candidate FROM documents),
+    candidates AS (SELECT key, any_value(text) AS text FROM docs WHERE candidate GROUP BY key),
+    lines AS (SELECT DISTINCT key, line FROM (SELECT key, unnest(string_split_regex(text, '\r\n|[\n\r]')) AS line FROM candidates) WHERE regexp_matches(line, '{TRIGGER}')),
+    units AS (SELECT DISTINCT 'line' AS kind, line AS key, line AS text FROM lines UNION ALL SELECT 'file', key, text FROM candidates),
+    words AS (SELECT kind, key, w, count(*) AS n FROM (SELECT kind, key, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM units) GROUP BY ALL),
+    templates(template, license, word, share, idf) AS (SELECT a, b, c, CAST(d AS DOUBLE), CAST(e AS DOUBLE) FROM (VALUES {rows}) v(a, b, c, d, e)),
+    weighed AS (SELECT kind, key, w, n * coalesce(idf, {model.unknown!r}::DOUBLE) AS x FROM words LEFT JOIN (SELECT DISTINCT word, idf FROM templates) ON w = word),
+    norms AS (SELECT kind, key, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL),
+    dots AS (SELECT kind, key, template, license, sum(x * share) AS dot FROM weighed JOIN templates ON w = word GROUP BY ALL),
+    best AS (SELECT kind, key, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (kind, key)
+             QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY round(dot / norm, 6) DESC, license) = 1),
+    files AS (SELECT key, license, score FROM best WHERE kind = 'file' AND score >= {FILE_SCORE}),
+    notices AS (SELECT l.key, license, score FROM lines l JOIN best b ON b.kind = 'line' AND b.key = l.line AND score >= {NOTICE_SCORE}
+                QUALIFY row_number() OVER (PARTITION BY l.key ORDER BY score DESC, license) = 1),
+    declared AS (SELECT dir, license, score FROM docs JOIN files USING (key) WHERE candidate QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+    above AS (SELECT DISTINCT dir, n AS depth, array_to_string(string_split(dir, '/')[1:n], '/') AS up FROM docs, range(0, 3) r(n) WHERE n <= len(string_split(dir, '/'))),
+    nearest AS (SELECT a.dir, a.up, d.license, d.score FROM above a JOIN declared d ON a.up = d.dir QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY depth DESC) = 1)
+    SELECT doc_id, path, coalesce(f.license, n.license, i.license) AS license, coalesce(f.score, n.score, i.score) AS license_score,
+           CASE WHEN f.key IS NOT NULL THEN 'file' WHEN n.key IS NOT NULL THEN 'notice' WHEN i.up IS NOT NULL THEN '/' || i.up END AS license_from
+    FROM docs LEFT JOIN files f ON f.key = docs.key LEFT JOIN notices n ON n.key = docs.key LEFT JOIN nearest i ON i.dir = docs.dir"""
