@@ -33,12 +33,12 @@ _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 #: Patterns of each kind, in the order in which they are tried.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?![0-9A-Za-z])|(?<=(?:token|secret|password|api_key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{12,}",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?![0-9A-Za-z])|(?<=(?:token|secret|password|api_key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{12,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d+(-])\d(?:[ -]?\d){12,18}(?!\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+.-])(?:\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?!\d)",
     "name": rf"(?<!\p{{L}})(?:{'|'.join(' '.join(TITLES.values()).split())})\.? +{_NAME}(?: +{_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -54,7 +54,8 @@ def _digits(c: Column) -> Column:
 
 
 def kind_of(raw: Column) -> Column:
-    return F.coalesce(*(F.when(raw.rlike(f"^(?:{p})$" if k != "secret" else r"^[A-Za-z0-9+/_-]+$"), F.lit(k)) for k, p in sorted(KINDS.items(), key=lambda x: x[0] == "secret")))
+    """Of a match; secrets have patterns that depend on what stands before them, so they are all the rest."""
+    return F.coalesce(*(F.when(raw.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in KINDS.items() if k != "secret"), F.lit("secret"))
 
 
 def canonical(kind: Column, raw: Column) -> Column:

@@ -34,6 +34,16 @@ def test_formats_types_and_coreference(spark):
     assert re.search(r'token = "[0-9a-f]{40}" 2[45]\d\.\d+\.\d+\.\d+### 4\d{15}\$\$\$ 9\d\d-\d\d-\d{4}$', c)
 
 
+def test_more_formats(spark):
+    before = ["020 7946 0958 or +44 20 7946 0958", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeK", "password: hunter2hunter2", "fe80:0:0:0:1:2:3:4 555-123-4567", "1999 2000 2001, 3.14, 10-12, v1.2.3"]
+    after = replaced(spark, before)
+    shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", t)))
+    assert all(a != b for a, b in zip(before[:4], after[:4], strict=True)) and before[4] == after[4]
+    assert shape(after[0]) == shape(before[0]) and shape(after[1]) == shape(before[1]) and after[2].startswith("password: ")
+    national, international = re.fullmatch(r"(\d+ \d+ \d+) or \+44 (\d+ \d+ \d+)", after[0]).groups()
+    assert national.endswith(international) or international.endswith(national[1:])
+
+
 def test_keys_matter_and_runs_repeat(spark):
     text = ["a.b@mail7.example.com 4785380592391139"]
     assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, "other")
