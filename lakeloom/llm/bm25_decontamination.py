@@ -38,8 +38,9 @@ from lakeloom.llm import _common as C
 #: BM25's two constants; share of an item's weight that makes it a candidate.
 K1, B, THRESHOLD = 1.2, 0.75, 0.7
 WINDOW, STRIDE, PART = 128, 64, 64
-#: Words of a shingle; share of an item's question and answer shingles that must be in the text.
-SHINGLE_WORDS, OVERLAP = 5, 0.8
+#: Words of a shingle; share that must be in the text, of the shingles of an item's question and of its answer's
+#: (a word changed in a copy costs five shingles).
+SHINGLE_WORDS, OVERLAP = 5, 0.5
 #: Postings of a block; bytes of items in one broadcast index (more items: more indexes, one after the other).
 BLOCK, INDEX_BYTES = 32, 32 << 20
 #: Cells of an array of sums by window and part, for each posting that is summed; if there were more, sums are made by sorting.
