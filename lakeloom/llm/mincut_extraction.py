@@ -35,6 +35,8 @@ NEVER, OUTSIDE, WITHIN = frozenset("nav menu footer aside".split()), frozenset("
 #: Words of class, id and role names that speak against or for what is below.
 AGAINST = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup privacy promo promoted promotion recommended related replies reply search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets".split())
 FOR = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
+#: Names that are written together with others.
+COMPOUND = re.compile("(?:advert|breadcrumb|comment|cookie|newsletter|sidebar)[a-z]*|[a-z]+(?:banner|comments|footer|header|menu|modal|nav|popup|sidebar|widget)")
 #: Those of them that hold for an article element itself.
 AGAINST_ARTICLES = frozenset("ad ads advertisement comment promo promoted related reply sponsored teaser widget".split())
 HINT_AGAINST, HINT_ARTICLE, HINT_FOR = -8.0, 5.0, 2.0
@@ -66,7 +68,7 @@ class Node:
                 self.unseen = True
         if tag in WITHIN:
             self.odds = HINT_AGAINST if self.barred or not AGAINST_ARTICLES.isdisjoint(words) else HINT_ARTICLE
-        elif self.barred or (tag in OUTSIDE and not (tag == "header" and above >= HINT_ARTICLE)) or (tag not in ("html", "body") and not AGAINST.isdisjoint(words)):
+        elif self.barred or (tag in OUTSIDE and not (tag == "header" and above >= HINT_ARTICLE)) or (tag not in ("html", "body") and (not AGAINST.isdisjoint(words) or any(map(COMPOUND.fullmatch, words)))):
             self.odds = HINT_AGAINST
         else:
             self.odds = above + HINT_FOR * (above >= 0 and not FOR.isdisjoint(words))
