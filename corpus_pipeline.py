@@ -71,7 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's rows are written to the shared folder."""
-    docs = C.table(spark, sf_dir, "documents")
+    docs = C.dealt(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = C.saved(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeloom.tables import shared_folder, table  # noqa: F401
+from lakeloom.tables import shared_folder, table  # noqa: F401 (used by the operators)
 
 #: Rows of whole texts that travel to a Python worker at once.
 ROWS_PER_BATCH = 512
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on: one read in fewer tasks than there are cores (a small file) is dealt out to all."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Before a Python stage: texts can be long, so Arrow batches hold few rows; workers get this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

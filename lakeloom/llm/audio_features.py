@@ -218,5 +218,5 @@ def extract(df: DataFrame, media_col: str = "media", id_cols: tuple[str, ...] =
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as a WAV file, read back and analysed."""
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    media = C.table(spark, sf_dir, "documents").select("doc_id", size.alias("n_bytes"), wav_of_text(F.col("text")).alias("media"))
+    media = C.dealt(spark, sf_dir, "documents").select("doc_id", size.alias("n_bytes"), wav_of_text(F.col("text")).alias("media"))
     return extract(media, id_cols=("doc_id", "n_bytes"), tensors=False)

@@ -254,4 +254,4 @@ def count_leaks(df: DataFrame, items: DataFrame, count_col: str, text_col: str =
 
 def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All test items that documents hold."""
-    return contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return contaminated(C.dealt(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))

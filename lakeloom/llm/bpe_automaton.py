@@ -206,4 +206,4 @@ def token_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by the automaton of byte_bpe_50k.json."""
-    return token_digests(C.table(spark, sf_dir, "documents"), C.tokenizer_file("byte_bpe_50k.json"))
+    return token_digests(C.dealt(spark, sf_dir, "documents"), C.tokenizer_file("byte_bpe_50k.json"))

@@ -150,7 +150,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels outside fold 2 of 4."""
-    docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
+    docs, labels = C.dealt(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     scored = score(docs, train(docs, labels.where(~held)))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))

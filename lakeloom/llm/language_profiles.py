@@ -163,6 +163,6 @@ def fold(id_col: str, of: int):
 
 def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, from profiles of the rows outside fold 1 of 3."""
-    docs = C.table(spark, sf_dir, "documents")
+    docs = C.dealt(spark, sf_dir, "documents")
     profiles = train_profiles(docs.where(fold("doc_id", 3) != 1))
     return predict_languages(docs, profiles).withColumn("held_out", fold("doc_id", 3) == 1).select("doc_id", "held_out", "lang_pred", "score")

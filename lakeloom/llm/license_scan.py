@@ -125,7 +125,7 @@ def document_path(*parts: Column) -> Column:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document; a document's directory is its source and language."""
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", document_path(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("path"))
+    docs = C.dealt(spark, sf_dir, "documents").select("doc_id", "text", document_path(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("path"))
     return scan(docs).select("doc_id", "path", "license", "license_score", "license_from")
 
 

@@ -253,4 +253,4 @@ def extract(df: DataFrame, html_col: str = "html", id_cols: Iterable[str] = ("pa
 
 def op3_mincut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract(C.table(spark, sf_dir, "pages"))
+    return extract(C.dealt(spark, sf_dir, "pages"))

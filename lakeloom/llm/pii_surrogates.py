@@ -215,5 +215,5 @@ def default_key(spark: SparkSession) -> str:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates in its text."""
-    docs = C.table(spark, sf_dir, "documents")
+    docs = C.dealt(spark, sf_dir, "documents")
     return replace_entities(docs, default_key(spark)).select("doc_id", "text", "n_entities")

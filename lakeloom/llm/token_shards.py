@@ -214,5 +214,5 @@ def read_store(spark: SparkSession, target: str, dictionary: bytes, doc_ids: lis
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids of word_bpe_49k.json with end id 1, written as a store and read back."""
     target = C.shared_folder(spark)
-    dictionary = write_store(C.table(spark, sf_dir, "documents"), target, C.tokenizer_file("word_bpe_49k.json"))
+    dictionary = write_store(C.dealt(spark, sf_dir, "documents"), target, C.tokenizer_file("word_bpe_49k.json"))
     return read_store(spark, target, dictionary, ids=False)
