@@ -20,6 +20,7 @@ import hashlib
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import _common as C
+from lakeloom.llm.bpe_automaton import byte_symbols
 
 #: About so many documents train the dictionary, of at most so many bytes.
 SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 1_000, 65_536, 3
@@ -37,9 +39,9 @@ SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 1_000, 65_536, 3
 BLOCK_DOCS, BLOCK_BYTES = 1_024, 4 << 20
 #: Words of each of two generations whose ids a worker remembers.
 MEMO_WORDS = 300_000
-#: Texts with other characters, or with a special token's string, go to the library whole: above U+024F
+#: Texts with other characters, or with what may be a special token, go to the library whole: above U+024F
 #: letter case and composition have more rules, and 1C-1F are white space only to Python.
-OTHER = re.compile("[\x1c-\x1fɐ-\U0010ffff]|<\\|")
+OTHER, SPECIAL = re.compile("[\x1c-\x1fɐ-\U0010ffff]"), "<|"
 #: Words as the vocabulary splits normalised text (fixed by the format), up to U+024F.
 WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\s0-9\xb2\xb3\xb9\xbc-\xbea-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
 
@@ -53,9 +55,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        vocab = self.library.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)
-        self.closes[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.model, self.symbols = self.library.model, {b: c for c, b in byte_symbols().items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -63,26 +63,15 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        new = []
-        for w in dict.fromkeys(words):
-            if w not in self.young:
-                if (known := self.old.get(w)) is None:
-                    new.append(w)
-                else:
-                    self.young[w] = known
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            ids = self._ids(" ".join(part))
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                data, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-                self.young.update((w, data[at[k] : at[k + 1]]) for k, w in enumerate(part))
-            else:
-                self.young.update((w, self._ids(w).tobytes()) for w in part)
+        """The library's model encodes each new word, as the characters that stand for its bytes."""
+        young, old, tokenize, symbols = self.young, self.old, self.model.tokenize, self.symbols
+        for w in words:
+            if w not in young:
+                young[w] = old.get(w) or array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if OTHER.search(text):
+        if SPECIAL in text or OTHER.search(text):
             return self._ids(text).tobytes()
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
