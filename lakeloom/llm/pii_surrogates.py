@@ -9,8 +9,8 @@ entities never share one, and none is itself an entity; who loses such a collisi
 The same entity (a number in another grouping, an address in other case, a name without its first
 name, a name that comes again without its title) has the same surrogate wherever it comes.
 
-Only rows with entities take part in shuffles, and of those only the entities, once for each
-distinct text; texts are joined to their replacements at the end.
+Rows with entities are written apart; of them only the entities are shuffled, once for each distinct
+text, and the texts are joined to their replacements at the end. All other rows pass through.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ PARTS = {
 }
 ENDINGS = {"latin": {"m": "an en io ok".split(), "f": "a ia ella ine".split(), "": "by der mont well".split()}, "cyrillic": {"m": "ан ей ил слав".split(), "f": "а ия ина мила".split(), "": "ев ко ский ук".split()}}
 
+#: Their first letters: a quick test before the longer ones.
+_FIRST = "".join(sorted({t[0] for t in " ".join(TITLES.values()).split()}))
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 #: Patterns of each kind, in the order in which they are tried.
 KINDS = {
@@ -39,7 +41,7 @@ KINDS = {
     "card": r"(?<![\d+(-])\d(?:[ -]?\d){12,18}(?!\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+.-])(?:\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4} \d{3,4} \d{3,4})(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(' '.join(TITLES.values()).split())})\.? +{_NAME}(?: +{_NAME})?",
+    "name": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{'|'.join(' '.join(TITLES.values()).split())})\.? +{_NAME}(?: +{_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What a text without entities lacks, quickly told.
@@ -189,7 +191,8 @@ def replace_entities(df: DataFrame, key: str, text_col: str = "text", count_col:
     kept = [c for c in df.columns if c != count_col]
     text = F.col(text_col)
     hit = F.coalesce(text.rlike(MAYBE) & text.rlike(PATTERN), F.lit(False))
-    found = df.where(hit).select(F.md5(text).alias("row"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).alias("raw")).distinct()
+    hits = C.saved(df.where(hit).select(*kept))
+    found = hits.select(F.md5(text).alias("row"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).alias("raw")).distinct()
     found = found.withColumn("match", kind_of(F.col("raw"))).select("row", "raw", "match", F.posexplode(tokens(F.col("match"), F.col("raw"))).alias("place", "entity")).select("row", "raw", "match", "place", "entity.*")
     found = C.saved(found)
     known = assign(found, key)
@@ -199,7 +202,7 @@ def replace_entities(df: DataFrame, key: str, text_col: str = "text", count_col:
     title = F.regexp_extract("raw", r"^\p{L}+\.? +", 0)
     out = F.when(F.col("match") == "name", F.concat(title, F.array_join("parts.out", " "))).otherwise(F.element_at("parts.out", 1))
     maps = whole.withColumn("out", out).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("raw", "out"))).alias(made), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("match") == "name", F.col("parts"))))).alias(names)).withColumnRenamed("row", row)
-    hits = df.where(hit).select(*kept).withColumn(row, F.md5(text)).join(maps, row)
+    hits = hits.withColumn(row, F.md5(text)).join(maps, row)
     between, entities = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     bare = lambda t: F.aggregate(names, t, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})\Q"), n["part"], F.lit(r"\E(?!\p{L})")), n["out"]))
     between = F.when(F.size(names) > 0, F.transform(between, bare)).otherwise(between)
