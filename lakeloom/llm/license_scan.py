@@ -22,7 +22,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import _common as C
@@ -48,6 +48,8 @@ TEMPLATES = {
 }
 #: A line without any of these is no candidate.
 TRIGGER = r"(?i)licen[cs]e|spdx|rights reserved|public domain|creative commons|permission|redistribution|proprietary"
+#: The same for Spark, with a quick test of the first letter.
+TRIGGER_FAST = "(?i)(?=[clprs])(?:" + TRIGGER.removeprefix("(?i)") + ")"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Cosine from which a line is a notice, and a whole text a licence file.
 NOTICE_SCORE, FILE_SCORE = 0.6, 0.7
@@ -92,31 +94,35 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", template
     """
     spark, kept = df.sparkSession, [c for c in df.columns if c not in ("license", "license_score", "license_from")]
     text, path = F.col(text_col), F.col(path_col)
-    base = df.select(F.struct(*kept).alias("row"), F.coalesce(text.rlike(TRIGGER), F.lit(False)).alias("candidate"), F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit(""))).alias("dir"), F.md5(text).alias("key"), text.alias("text"))
-    some = base.where("candidate")
+    at = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
+    candidate = F.coalesce(text.rlike(TRIGGER_FAST), F.lit(False))
+    some = C.saved(df.where(candidate).select(F.md5(text).alias("key"), at.alias("dir"), text.alias("text")))
 
     whole = C.saved(cosines(spark, some.groupBy("key").agg(F.first("text").alias("text")), templates).where(F.col("score") >= FILE_SCORE))
-    lines = some.select("key", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where(F.col("line").rlike(TRIGGER)).distinct()
+    lines = some.select("key", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where(F.col("line").rlike(TRIGGER_FAST)).distinct()
     scored = cosines(spark, lines.select(F.col("line").alias("key"), F.col("line").alias("text")).distinct(), templates).where(F.col("score") >= NOTICE_SCORE)
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")))
     notices = lines.join(scored.withColumnRenamed("key", "line"), "line").groupBy("key").agg(best.alias("notice"))
-    notices = C.saved(notices.join(whole.select("key", F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")).alias("file")), "key", "full"))
+    notices = notices.join(whole.select("key", F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")).alias("file")), "key", "full")
 
     files = some.where("dir is not null").select("key", "dir").distinct().join(whole, "key")
     declared = files.groupBy("dir").agg(best.alias("declared"))
-    dirs = base.select("dir").where("dir is not null").distinct()
+    dirs = df.select(at.alias("dir")).where("dir is not null").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("up")))).alias("a")).select("dir", "a.*").distinct()
     nearest = above.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("up", "declared"), "depth").alias("near"))
-    nearest = C.saved(nearest)
-
-    with_own = base.where("candidate").join(notices, "key", "left").select("row", "dir", "notice", "file")
-    struct = "struct<less: double, license: string>"
-    without = base.where("not candidate").select("row", "dir", F.lit(None).cast(struct).alias("notice"), F.lit(None).cast(struct).alias("file"))
-    joined = with_own.unionByName(without).join(nearest, "dir", "left")
-    own = F.coalesce("file", "notice", "near.declared")
-    came = F.when(F.col("file").isNotNull(), F.lit("file")).when(F.col("notice").isNotNull(), F.lit("notice")).when(F.col("near").isNotNull(), F.concat(F.lit("/"), F.col("near.up")))
-    return joined.select("row.*", own["license"].alias("license"), (-own["less"]).alias("license_score"), came.alias("license_from"))
+
+    # rows keep their own columns, so that those nobody asks for (the text) aren't moved
+    key, own_dir, notice, file, near = (C.fresh(df, f"license_{n}") for n in ("key", "dir", "notice", "file", "near"))
+    notices = C.saved(notices.select(F.col("key").alias(key), F.col("notice").alias(notice), F.col("file").alias(file)))
+    nearest = C.saved(nearest.select(F.col("dir").alias(own_dir), F.col("near").alias(near)))
+    with_own = df.where(candidate).select(*kept, at.alias(own_dir), F.md5(text).alias(key)).join(notices, key, "left").drop(key)
+    nothing = F.lit(None).cast("struct<less: double, license: string>")
+    without = df.where(~candidate).select(*kept, at.alias(own_dir), nothing.alias(notice), nothing.alias(file))
+    joined = with_own.unionByName(without).join(nearest, own_dir, "left")
+    best = F.coalesce(file, notice, f"{near}.declared")
+    came = F.when(F.col(file).isNotNull(), F.lit("file")).when(F.col(notice).isNotNull(), F.lit("notice")).when(F.col(near).isNotNull(), F.concat(F.lit("/"), F.col(f"{near}.up")))
+    return joined.select(*kept, best["license"].alias("license"), (-best["less"]).alias("license_score"), came.alias("license_from"))
 
 
 def document_path(*parts: Column) -> Column:
