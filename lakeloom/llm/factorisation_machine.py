@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,17 +35,17 @@ STATISTICS = ("symbols", "repeated_lines", "distinct_words", "word_length", "lin
 def statistics(text: str, words: list[str], n_chars: int | None) -> list[float]:
     """Shares (0 to 1) and logarithms (scaled to about 0 to 1), in the order of STATISTICS."""
     n, chars, lines = max(1, len(words)), max(1, len(text)), text.split("\n")
-    distinct = len(set(words))
+    counts = Counter(words)
     return [
         len(SYMBOLS.findall(text)) / chars,
         1 - len(set(lines)) / len(lines),
-        distinct / n,
+        len(counts) / n,
         min(1.0, sum(map(len, words)) / n / 16),
         math.log1p(n / len(lines)) / 8,
         sum(map(str.isupper, words)) / n,
         sum(map(str.isdigit, words)) / n,
         (text.count(". ") + text.count(".\n") + text.count(",")) / n,
-        max(map(words.count, words[:8]), default=0) / n,
+        max(counts.values(), default=0) / n,
         math.log1p(len(words)) / 16,
         math.log1p(len(text) if n_chars is None else max(0, n_chars)) / 20,
     ]

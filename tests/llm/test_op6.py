@@ -21,6 +21,14 @@ def test_score_equals_the_sum_over_pairs():
     assert abs(model.score(x) - 1 / (1 + np.exp(-(0.1 + model.weights[x] @ v + pairs)))) < 1e-12
 
 
+def test_most_frequent_counts_words_that_first_come_late():
+    words = [*"one two three four five six seven eight".split(), *["junk"] * 92]
+    at = A.STATISTICS.index("most_frequent")
+    assert A.statistics(" ".join(words), words, None)[at] == 0.92
+    assert A.statistics("", [], None)[at] == 0
+    assert A.BUCKETS + at * A.BINS + int(0.92**0.5 * A.BINS) in A.inputs(" ".join(words), None)
+
+
 def test_hard_cases(spark):
     docs = cases.frame(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None), (99, 1)], "doc_id long, quality int")
