@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import _common as C
-from lakeloom.llm import bm25_decontamination, bpe_automaton, language_profiles, pii_surrogates, simhash
+from lakeloom.llm import bm25_decontamination, bpe_automaton, jaccard_join, language_profiles, pii_surrogates
 
 #: Texts less alike to every profile than this are in none of the languages (the least of the test tables' documents has 0.5).
 LEAST_LANGUAGE_SCORE = 0.2
@@ -36,9 +36,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of near copies the document with the smallest doc_id stays (of equal rows, one; null ids last)."""
+    """Jaccard 0.8 or more over shingles of five words: of each group of near copies the document with the smallest doc_id stays (of equal rows, one; null ids last)."""
     keyed, key = _keyed(docs)
-    groups = simhash.near_duplicates(keyed.select(key, "text"), key)
+    groups = jaccard_join.near_duplicates(keyed.select(key, "text"), key)
     ids = keyed.select(key, "doc_id").groupBy(key, "doc_id").agg(F.count("*").alias("copies"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key, "copies")).alias("first")
     stays = C.saved(groups.select(key, "component_id").distinct().join(ids, key).groupBy("component_id").agg(first).select(F.col(f"first.{key}").alias(key), "first.copies"))

@@ -1,0 +1,174 @@
+"""Near duplicates by exact Jaccard similarity of word shingles: the pipeline's near-duplicate stage.
+
+A pair of sets with Jaccard 0.8 or more shares a word of both prefixes, whatever the order of all
+shingles is: of n shingles the n - ceil(0.8 n) + 1 first ones. So no pair is lost.
+
+1. Every text becomes the sorted set of its shingles' XXH64 hashes; equal sets are one node.
+2. Shingles that come often in a sample of the texts are put last in the order (HOT of them at most),
+   all others are ordered by their hashes. The order changes the work, not the result.
+3. Prefixes are dealt out by shingle. Pairs that meet there pass by the bounds that their sizes and places
+   set, and by the number of prefix shingles that they share; the others are compared as whole sets.
+4. Linked nodes are merged by distributed connected components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lakeloom.llm import _common as C
+
+#: Words of a shingle; least similarity of a link, as a fraction.
+SHINGLE_WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
+#: One of so many texts is sampled; shingles of so many sampled sets are frequent; frequent ones that are kept, at most.
+SAMPLED, FREQUENT, HOT = 16, 4, 200_000
+
+
+def shingles(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; a text of fewer words is one shingle, one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    n, digest = max(1, len(words) - width + 1), xxhash.xxh64_digest
+    parts = [words[j : j + n] for j in range(min(width, len(words)))]
+    return np.unique(np.frombuffer(b"".join([digest(b" ".join(s), 42) for s in zip(*parts, strict=True)]), np.int64))
+
+
+def node_of(own: np.ndarray) -> int:
+    """One number for equal sets; 0 for the empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64)) if len(own) else 0
+
+
+def least_shared(n):
+    """Shingles of a set of n that any set linked to it has too."""
+    return -(-NUMERATOR * n // DENOMINATOR)
+
+
+def least_overlap(a, b):
+    """Shingles that linked sets of sizes a and b share."""
+    return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
+
+
+def prefix(own: np.ndarray, hot: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The set's first shingles in the order of all; hot: frequent ones, sorted, and their ranks (from 1) after all others."""
+    if not len(own):
+        return own
+    rank = np.zeros(len(own), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        rank = np.where(hot[at] == own, ranks[at], 0)
+    return own[np.lexsort((own, rank))][: len(own) - least_shared(len(own)) + 1]
+
+
+def meetings(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb) of rows of the same token that may be linked; rows are sorted by token, and whole for each."""
+    order = np.lexsort((node, size, token))
+    token, node, size, place = token[order], node[order], size[order], place[order]
+    once = np.ones(len(token), bool)
+    once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # copies of a text in several tasks
+    token, node, size, place = token[once], node[once], size[once], place[once]
+    here = np.arange(len(token))
+    for lag in range(1, len(token)):
+        here = here[here + lag < len(token)]
+        there = here + lag
+        here = here[(token[there] == token[here]) & (NUMERATOR * size[there] <= DENOMINATOR * size[here])]  # sizes ascend: a row that fails goes on failing
+        if not len(here):
+            break
+        a, b = here, here + lag
+        most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
+        a, b = (x[most >= least_overlap(size[a], size[b])] for x in (a, b))
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(size[a]), pa.array(size[b])], ["a", "b", "na", "nb"])
+
+
+def candidates(df: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(a, b): pairs of nodes among which are all that are linked."""
+    spark = df.sparkSession
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, width) for t in set(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], ["token"])
+
+    C.small_batches(spark)
+    some = df.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0).mapInArrow(all_of, "token long")
+    often = some.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(HOT).select("token").collect()
+    ascending = np.array([r.token for r in reversed(often)], np.int64)
+    by = np.argsort(ascending)
+    hot = spark.sparkContext.broadcast((ascending[by], by + 1))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            tokens, nodes, sizes, places = [np.empty(0, np.int64)], [], [], []
+            for text in batch.column(0).to_pylist():
+                own = shingles(text, width)
+                node = node_of(own)
+                if not len(own) or node in seen:
+                    continue
+                seen.add(node)
+                tokens.append(prefix(own, *hot.value))
+                nodes.append(np.full(len(tokens[-1]), node))
+                sizes.append(np.full(len(tokens[-1]), len(own)))
+                places.append(np.arange(len(tokens[-1])))
+            columns = [np.concatenate(tokens), *(np.concatenate([np.empty(0, np.int64), *c]) for c in (nodes, sizes, places))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "node", "size", "place"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            whole = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last token may go on
+            if whole:
+                yield from meetings(*(h[:whole] for h in held))
+                held = [h[whole:] for h in held]
+        yield from meetings(*held)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # rows with texts and rows of numbers travel in batches of the same number of rows
+    dealt = C.saved(df.select(text_col).mapInArrow(prefixes, "token long, node long, size long, place long"))
+    C.small_batches(spark, 20_000)
+    met = dealt.repartition(n, "token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long, na long, nb long")
+    rest = F.greatest(*(F.ceil(F.col(c) * NUMERATOR / DENOMINATOR) - 1 for c in ("na", "nb")))
+    need = F.ceil((F.col("na") + F.col("nb")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    return C.saved(met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") + rest >= need).select("a", "b"))
+
+
+def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
+    """(id_col, component_id) of every row: component_id is the smallest id that can be reached by links; ids aren't null.
+
+    Null texts and those without words are one group, texts with equal shingles are one; repeated rows
+    repeat; an empty table gives an empty one.
+    """
+    spark = df.sparkSession
+
+    def nodes(keys, texts):
+        return [keys, [node_of(shingles(t, width)) for t in texts]]
+
+    C.small_batches(spark)
+    made = C.saved(C.per_batch(df, [id_col, text_col], f"{id_col} string, node long", nodes))
+    pairs = candidates(df, text_col, width)
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    one = C.saved(made.join(asked, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col)))
+    texts = C.saved(df.select(id_col, F.col(text_col).alias("t")).join(one, id_col).dropDuplicates(["node"]).select("node", "t"))
+
+    def alike(a, b, s, t):
+        marks, sets = [], {x: shingles(x, width) for x in {*s, *t}}
+        for x, y in zip(s, t, strict=True):
+            x, y = sets[x], sets[y]
+            marks.append(len(np.intersect1d(x, y, True)) >= least_overlap(len(x), len(y)))
+        return [a, b, marks]
+
+    C.small_batches(spark)
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.withColumnRenamed("node", "b"), "b")
+    links = C.per_batch(both, ["a", "b", "s", "t"], "src long, dst long, linked boolean", alike).where("linked").select("src", "dst")
+    whole = C.connected_components(links)
+    of = made.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    low = of.groupBy("component").agg(F.min(id_col).alias("component_id"))
+    return of.join(low, "component").select(id_col, "component_id")
