@@ -6,13 +6,14 @@ DataFrame functions only.
    scored once: words become rows (word, weight), are joined to the templates' words, and the products
    are summed by line and template; divided by both norms this is the cosine. A text's licence is that
    of its best line.
-2. Licence files: a whole text is scored in the same way against the templates; one at or over
-   FILE_SCORE is a licence file and speaks for its directory.
+2. Licence files: a whole text is scored in the same way against the templates and against whole
+   licences (licences/*.txt); one at or over FILE_SCORE is a licence file and speaks for its directory.
 3. Inheritance: every directory takes the licence of the nearest directory at or above it that has a
    licence file, found by joining its ancestor paths; a text without a notice takes its directory's.
 
 Word weights are inverse document frequencies over the templates; words that no template has weigh
-as the rarest ones and only lengthen a line's norm. Templates are a fixed, small list, so their words
+as the rarest ones and only lengthen a line's norm. Among whole licences a word that all of them have
+weighs nothing, so that prose isn't like them by its common words. Templates are a fixed, small list, so their words
 may be broadcast.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,29 +57,36 @@ WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 NOTICE_SCORE, FILE_SCORE = 0.6, 0.7
 
 
+def bodies() -> dict[str, list[str]]:
+    """Whole licences by SPDX identifier. AGPL-3.0 is GPL-3.0 under its own name, which tells the two apart."""
+    found = {f.stem: [f.read_text("utf-8")] for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+    affero = found["GPL-3.0"][0].replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")
+    return found | {"AGPL-3.0": [affero.replace("29 June 2007", "19 November 2007")]}
+
+
 class Templates:
     """Weights of the template words, and each template's vector divided by its norm."""
 
-    def __init__(self, templates: dict[str, list[str]]):
+    def __init__(self, templates: dict[str, list[str]], base: float = 1):
         texts = [(name, Counter(re.findall(WORD, t.lower()))) for name, group in sorted(templates.items()) for t in group]
         df = Counter(w for _, c in texts for w in c)
-        self.idf = {w: 1 + math.log((1 + len(texts)) / (1 + n)) for w, n in df.items()}
-        self.unknown = 1 + math.log(1 + len(texts))
+        self.idf = {w: base + math.log((1 + len(texts)) / (1 + n)) for w, n in df.items()}
+        self.unknown = base + math.log(1 + len(texts))
         self.rows = []
         for number, (name, c) in enumerate(texts):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
             self.rows += [(number, name, w, n * self.idf[w] / norm, self.idf[w]) for w, n in sorted(c.items())]
 
 
-def cosines(spark: SparkSession, texts: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
+def cosines(spark: SparkSession, texts: DataFrame, templates: dict[str, list[str]], base: float = 1) -> DataFrame:
     """(key, license, score): the best template of each (key, text) with distinct keys; ties go to the smaller identifier."""
-    model = Templates(templates)
+    model = Templates(templates, base)
     table = F.broadcast(spark.createDataFrame(model.rows, "template int, license string, word string, share double, idf double"))  # fixed size
     words = texts.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
     weight = F.col("n") * F.coalesce("idf", F.lit(model.unknown))
     known = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "word string, idf double"))
     weighed = words.join(known, "word", "left").select("key", "word", weight.alias("w"))
-    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")).where("norm > 0")
     dots = weighed.join(table, "word").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     scored = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")))
@@ -98,7 +107,10 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", template
     candidate = F.coalesce(text.rlike(TRIGGER_FAST), F.lit(False))
     some = C.saved(df.where(candidate).select(F.md5(text).alias("key"), at.alias("dir"), text.alias("text")))
 
-    whole = C.saved(cosines(spark, some.groupBy("key").agg(F.first("text").alias("text")), templates).where(F.col("score") >= FILE_SCORE))
+    best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license"))).alias("best")
+    texts = some.groupBy("key").agg(F.first("text").alias("text"))
+    files = cosines(spark, texts, templates).unionByName(cosines(spark, texts, bodies(), 0)).where(F.col("score") >= FILE_SCORE)
+    whole = C.saved(files.groupBy("key").agg(best).select("key", "best.license", (-F.col("best.less")).alias("score")))
     lines = some.select("key", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where(F.col("line").rlike(TRIGGER_FAST)).distinct()
     scored = cosines(spark, lines.select(F.col("line").alias("key"), F.col("line").alias("text")).distinct(), templates).where(F.col("score") >= NOTICE_SCORE)
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")))

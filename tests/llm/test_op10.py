@@ -67,5 +67,15 @@ def test_inheritance_and_hard_cases(spark):
     assert out.count() == len(ROWS) and A.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licences_are_inherited(spark):
+    whole = {name: " ".join(texts[0].split()) for name, texts in A.bodies().items()}  # wrapped otherwise than the templates
+    names = ["MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "ISC", "GPL-3.0", "AGPL-3.0", "LGPL-2.1"]
+    rows = [r for n in names for r in ((f"{n}/LICENSE", f"Copyright (c) 2019 Jane Roe and others\n\n{whole[n]}"), (f"{n}/src/x.py", "code"))]
+    prose = "The use of this and that is in the hands of all who work for it, and to ask for a license or permission of any of them is not to be done. " * 40
+    rows += [("prose/a", prose), ("prose/b", "code")]
+    got = {r.path: (r.license, r.license_from) for r in A.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {f"{n}/LICENSE": (n, "file") for n in names} | {f"{n}/src/x.py": (n, f"/{n}") for n in names} | {"prose/a": (None, None), "prose/b": (None, None)}
+
+
 def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Arrow|Pandas", A.op10_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString())
