@@ -6,7 +6,7 @@ surrogate from a keyed hash: digits stay digits, letters stay letters of their s
 separators stay, card numbers that pass their check digit pass it again, names keep title, gender and
 script, addresses become reserved ones. Surrogates are checked over all entities of the table: two
 entities never share one, and none is itself an entity; who loses such a collision is hashed again.
-The same entity (a number in another grouping, an address in other case, a name without its first
+The same entity (a number in another grouping, an address or a hexadecimal secret in other case, a name without its first
 name, a name that comes again without its title) has the same surrogate wherever it comes.
 
 Rows with entities are written apart; of them only the entities are shuffled, once for each distinct
@@ -35,7 +35,7 @@ _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 #: Patterns of each kind, in the order in which they are tried.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?![0-9A-Za-z])|(?<=(?:token|secret|password|api_key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{12,}",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?![0-9A-Za-z])|(?<=(?i:token|secret|password|api_key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{12,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d+(-])\d(?:[ -]?\d){12,18}(?!\d)",
@@ -46,6 +46,8 @@ KINDS = {
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What a text without entities lacks, quickly told.
 MAYBE = r"[@0-9]|" + KINDS["name"]
+#: A secret of hexadecimal digits, in lower, upper or mixed case.
+HEX = "^[0-9A-Fa-f]{32,}$"
 #: Digits of a phone number that identify it (those before are the country's).
 NATIONAL = 10
 ROUNDS = 40
@@ -57,13 +59,13 @@ def _digits(c: Column) -> Column:
 
 def kind_of(raw: Column) -> Column:
     """Of a match; secrets have patterns that depend on what stands before them, so they are all the rest."""
-    return F.coalesce(*(F.when(raw.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in KINDS.items() if k != "secret"), F.lit("secret"))
+    return F.coalesce(F.when(raw.rlike(HEX), F.lit("secret")), *(F.when(raw.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in KINDS.items() if k != "secret"), F.lit("secret"))
 
 
 def canonical(kind: Column, raw: Column) -> Column:
     """What is equal for all ways to write an entity."""
     digits = _digits(raw)
-    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.right(digits, F.lit(NATIONAL))).when(kind == "email", F.lower(raw)).when(kind == "iban", F.regexp_replace(raw, " ", "")).otherwise(raw)
+    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.right(digits, F.lit(NATIONAL))).when(kind == "email", F.lower(raw)).when(kind == "iban", F.regexp_replace(raw, " ", "")).when((kind == "secret") & raw.rlike(HEX) & (F.upper(raw) == raw), F.lower(raw)).otherwise(raw)
 
 
 def stream(*seed: Column) -> Column:
@@ -115,7 +117,7 @@ def candidate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     octets = [F.conv(F.substring(bits, 2 * i + 1, 2), 16, 10).cast("int") for i in range(4)]
     address = F.when(canon.contains(":"), like_hex(canon, bits)).otherwise(F.concat_ws(".", (240 + octets[0] % 15).cast("string"), *(o.cast("string") for o in octets[1:3]), (1 + octets[3] % 254).cast("string")))
     prefix = F.regexp_extract(canon, r"^(AKIA|(?:sk|pk|ghp|gho|glpat|xoxb|xoxp)[-_])", 1)
-    secret = F.when(canon.rlike("^[0-9a-f]{1,256}$"), hexadecimal.substr(F.lit(1), n)).otherwise(F.concat(prefix, like(canon.substr(F.length(prefix) + 1, n), bits)))
+    secret = F.when(canon.rlike("^[0-9a-f]{1,256}$"), hexadecimal.substr(F.lit(1), n)).when(canon.rlike(HEX), like_hex(canon, bits, cased=True)).otherwise(F.concat(prefix, like(canon.substr(F.length(prefix) + 1, n), bits)))
     name = F.coalesce(*(F.when(F.concat(kind, F.lit("/"), F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))) == f"{prefix_}{g}/{script}", _name(bits, attempt, script, g)) for script in PARTS for g, prefix_ in (("m", "given_"), ("f", "given_"), ("", "surname"))))
     return (
         F.when(kind == "email", F.concat(like(local, bits), F.lit("@"), host))
@@ -129,8 +131,12 @@ def candidate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     )
 
 
-def like_hex(value: Column, bits: Column) -> Column:
-    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9A-Fa-f]"), bits.substr(i % 256 + 1, F.lit(1))).otherwise(c)), "")
+def like_hex(value: Column, bits: Column, cased: bool = False) -> Column:
+    """value with other hexadecimal digits from `bits`; cased: digits stay digits, letters stay letters of their case."""
+    at = lambda b, i: b.substr(i % 256 + 1, F.lit(1))
+    letters = F.translate(bits, "0123456789", "abcdefabcd")
+    own = lambda c, i: F.when(c.rlike("[0-9]"), at(F.translate(bits, "abcdef", "012345"), i)).when(c.rlike("[A-F]"), F.upper(at(letters, i))).otherwise(at(letters, i))
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9A-Fa-f]"), own(c, i) if cased else at(bits, i)).otherwise(c)), "")
 
 
 def _name(bits: Column, attempt: Column, script: str, gender: str) -> Column:
@@ -146,7 +152,7 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
     digit = lambda c, i: F.length(_digits(raw.substr(F.lit(1), i + 1))) - (n - own)
     grouped = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike(r"\d") & (digit(c, i) > 0), surrogate.substr(digit(c, i), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(c == " ", c).otherwise(surrogate.substr(F.length(F.regexp_replace(raw.substr(F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
-    upper = (kind.isin("email") | kind.startswith("given") | (kind == "surname")) & (F.upper(raw) == raw) & (F.lower(raw) != raw)
+    upper = (kind.isin("email") | kind.startswith("given") | (kind == "surname") | ((kind == "secret") & raw.rlike(HEX))) & (F.upper(raw) == raw) & (F.lower(raw) != raw)
     return F.when(kind.isin("card", "ssn", "phone"), grouped).when(kind == "iban", spaced).when(upper, F.upper(surrogate)).otherwise(surrogate)
 
 

@@ -44,6 +44,19 @@ def test_more_formats(spark):
     assert national.endswith(international) or international.endswith(national[1:])
 
 
+def test_secrets_in_upper_case(spark):
+    low, mixed = "ab12be64439e3e49cf46b2d7c90f3602a3d0b907", "aB12Be64439e3E49cf46b2d7c90f3602A3d0b907"
+    before = [f'token = "{low}"', f'TOKEN = "{low.upper()}"', f'PASSWORD: HUNTER2HUNTER2 Api_Key="{mixed}"', low.upper()[:32], "A" * 300 + " 1"]
+    after = replaced(spark, before)
+    own = re.fullmatch('token = "([0-9a-f]{40})"', after[0])[1]
+    assert own != low and after[1] == f'TOKEN = "{own.upper()}"'
+    word, other = re.fullmatch(r'PASSWORD: (\w+) Api_Key="(\w+)"', after[2]).groups()
+    assert re.fullmatch("[A-Z]{6}[0-9][A-Z]{6}[0-9]", word) and word != "HUNTER2HUNTER2"
+    assert other != mixed and re.fullmatch("[0-9A-Fa-f]{40}", other) and [c.isupper() for c in other] == [c.isupper() for c in mixed]
+    assert after[3] != before[3] and re.fullmatch("[0-9A-F]{32}", after[3])
+    assert after[4] != before[4] and len(after[4]) == 302 and after[4][:300].isupper()
+
+
 def test_keys_matter_and_runs_repeat(spark):
     text = ["a.b@mail7.example.com 4785380592391139"]
     assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, "other")
