@@ -1,11 +1,11 @@
-"""Helpers that the training-data operators share: reading, batch sizes, shared folders, components."""
+"""Helpers that the training-data operators share: reading, batches, shared folders, components."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from lakeloom.tables import shared_folder, table  # noqa: F401 (used by the operators)
 
-#: Rows of whole texts that travel to a Python worker at once.
+#: Rows whose whole texts are Python objects at once.
 ROWS_PER_BATCH = 512
 
 
@@ -25,21 +25,20 @@ def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Before a Python stage: texts can be long, so Arrow batches hold few rows; workers get this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def ship(spark: SparkSession) -> None:
+    """Before a Python stage: workers get this package (code only; the copy goes when the driver ends)."""
     sc = spark.sparkContext
     if _shipped.get("to") != sc.applicationId:
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="lakeloom-")) / "lakeloom_package.zip"
+        root, folder = Path(__file__).resolve().parents[1], tempfile.TemporaryDirectory(prefix="lakeloom-")
+        target = Path(folder.name) / "lakeloom_package.zip"
         with zipfile.ZipFile(target, "w") as z:
             for f in root.rglob("*.py"):
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(str(target))
-        _shipped["to"] = sc.applicationId
+        _shipped.update(to=sc.applicationId, folder=folder)
 
 
-_shipped: dict[str, str] = {}
+_shipped: dict = {}
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -49,29 +48,46 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may be broadcast: beyond so many (of 40 bytes at most) a join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """Saved keys (few short columns), marked for broadcasting if a count shows that they are BROADCAST_ROWS at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """Arrow batches, which Spark bounds by bytes, in slices of few rows: texts of a slice become Python objects together."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def per_batch(df: DataFrame, columns: list[str], schema: str, rows: Callable[..., list]) -> DataFrame:
-    """Calls rows(*lists of the columns) for each Arrow batch; it returns one list per column of schema."""
+    """Calls rows(*lists of the columns) for slices of Arrow batches; it returns one list per column of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for batch in batches:
+        out = arrow_schema(schema)
+        for batch in pieces(batches):
             made = rows(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
-            out = out or arrow_schema(schema)
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, out, strict=True)], schema=out)
 
+    ship(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
 def with_columns(df: DataFrame, inputs: list[str], added: str, rows: Callable[..., list]) -> DataFrame:
-    """df and the columns `added`, made by rows(*lists of inputs) for each Arrow batch; nothing is shuffled."""
+    """df and the columns `added`, made by rows(*lists of inputs) for slices of Arrow batches; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = arrow_schema(added)
-        for batch in batches:
+        for batch in pieces(batches):
             made = rows(*(batch.column(c).to_pylist() for c in inputs))
             arrays = [pa.array(v, type=f.type) for v, f in zip(made, new, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=pa.schema([*batch.schema, *new]))
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(added).fields]))
 
 

@@ -208,7 +208,6 @@ def extract(df: DataFrame, media_col: str = "media", id_cols: tuple[str, ...] =
                 column.append(v)
         return [*columns[:-1], *out]
 
-    C.small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     ids = ", ".join(f"{c} {kinds[c].replace('bigint', 'long')}" for c in id_cols)
     schema = f"{ids}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_windows long, segments array<double>" + ", tensors binary" * tensors

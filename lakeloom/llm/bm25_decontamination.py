@@ -217,7 +217,6 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     equal items repeat; a word count of any length is searched; empty tables give no rows. The items of
     one index are measured before they are collected; more of them go into further indexes.
     """
-    C.small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col].replace("bigint", "long")
     schema = f"{id_col} {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long, end_word long"
     out = None
@@ -247,7 +246,6 @@ def indexes(items: DataFrame, item_col: str, text_col: str, threshold: float, in
 
 def count_leaks(df: DataFrame, items: DataFrame, count_col: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """df and count_col, a name that it doesn't have: how many test items its row holds; nothing is shuffled."""
-    C.small_batches(df.sparkSession)
     shared = list(indexes(items, item_col, item_text_col, threshold, index_bytes))
     return C.with_columns(df, [text_col], f"{count_col} int", lambda texts: [[sum(len(matches(ix.value, t, threshold)) for ix in shared) for t in texts]])
 

@@ -182,7 +182,6 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         ids = [encode(t or "", path) for t in values]
         return [keys, ids, *([[fsm.decode(x) for x in ids]] if texts else [])]
 
-    C.small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col].replace("bigint", "long")
     return C.per_batch(df, [id_col, text_col], f"{id_col} {kind}, ids array<int>" + ", decoded string" * texts, rows)
 
@@ -199,7 +198,6 @@ def token_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             text_sha.append(hashlib.sha256(fsm.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return [keys, n, ids_sha, text_sha]
 
-    C.small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col].replace("bigint", "long")
     return C.per_batch(df, [id_col, text_col], f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
 

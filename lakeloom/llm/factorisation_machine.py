@@ -120,7 +120,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The sample is picked by a hash of the id among the labels, and only its input numbers are collected.
     """
-    C.small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     every = -(-max(1, known.count()) // rows)
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
@@ -144,7 +143,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def rows(keys, texts, chars):
         return [keys, [shared.value.score(inputs(t, c)) for t, c in zip(texts, chars, strict=True)]]
 
-    C.small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col].replace("bigint", "long")
     return C.per_batch(df, [id_col, text_col, chars_col], f"{id_col} {kind}, score double", rows)
 

@@ -76,7 +76,7 @@ def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
                 held[lang] = (k, n)
             waiting.clear()
 
-        for batch in batches:
+        for batch in C.pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = ngrams(text)
                 waiting.setdefault(lang, []).append(grams)
@@ -92,7 +92,7 @@ def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
         for lang, (k, n) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    C.small_batches(df.sparkSession)
+    C.ship(df.sparkSession)
     parts = df.where(F.col(lang_col).isNotNull()).select(lang_col, text_col).mapInArrow(count, "lang string, gram long, n long")
     total = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(f"rank <= {size}")
@@ -139,7 +139,6 @@ def predict_languages(df: DataFrame, profiles: dict[str, np.ndarray], id_col: st
         found = [model.predict(t) for t in texts]
         return [keys, [f[0] for f in found], [f[1] for f in found]]
 
-    C.small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col].replace("bigint", "long")
     return C.per_batch(df, [id_col, text_col], f"{id_col} {kind}, lang_pred string, score double", rows)
 
@@ -152,7 +151,6 @@ def add_languages(df: DataFrame, profiles: dict[str, np.ndarray], lang_col: str,
         found = [model.predict(t) for t in texts]
         return [[f[0] for f in found], [f[1] for f in found]]
 
-    C.small_batches(df.sparkSession)
     return C.with_columns(df, [text_col], f"{lang_col} string, {score_col} double", rows)
 
 

@@ -245,7 +245,6 @@ def extract(df: DataFrame, html_col: str = "html", id_cols: Iterable[str] = ("pa
         found = [main_text(p) for p in columns[-1]]
         return [*columns[:-1], [f[0] for f in found], [len(f[0]) for f in found], [f[1] for f in found], [f[2] for f in found]]
 
-    C.small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{c} {kinds[c].replace('bigint', 'long')}" for c in id_cols)
     return C.per_batch(df, [*id_cols, html_col], f"{schema}, text string, n_chars long, n_blocks int, n_content int", rows)

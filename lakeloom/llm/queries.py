@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from lakeloom.llm import audio_features, bm25_decontamination, bpe_automaton, factorisation_machine, language_profiles, license_scan, mincut_extraction, pii_surrogates, simhash, token_shards
+from lakeloom.llm import audio_features, bm25_decontamination, bpe_automaton, factorisation_machine, language_profiles, license_scan, mincut_extraction, pii_surrogates, pipeline, simhash, token_shards
 
 QUERIES = {
     "op1_audio_features": audio_features.op1_audio_features,
@@ -16,6 +15,6 @@ QUERIES = {
     "op8_bm25_decontamination": bm25_decontamination.op8_bm25_decontamination,
     "op9_language_profiles": language_profiles.op9_language_profiles,
     "op10_license_scan": license_scan.op10_license_scan,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 SQL: dict[str, str] = {"op10_license_scan": license_scan.oracle()}

@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-import corpus_pipeline as P
-from lakeloom.llm import jaccard_join as A
+from lakeloom.llm import near_copies as A
+from lakeloom.llm import pipeline as P
 from tests.llm import cases
 
 

@@ -4,11 +4,11 @@ import hashlib
 
 import pytest
 
-import corpus_pipeline as P
 from lakeloom.llm import _common as C
-from lakeloom.llm import bm25_decontamination, language_profiles, simhash
+from lakeloom.llm import bm25_decontamination, language_profiles
+from lakeloom.llm import pipeline as P
 from tests.llm import cases
-from tests.llm.test_op7 import brute
+from tests.llm.test_near_copies import kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,8 +20,8 @@ def test_run_equals_brute_force(spark):
     docs = sorted(cases.documents(spark).collect(), key=lambda r: r.doc_id)
     model = language_profiles.Profiles(language_profiles.train_profiles(cases.documents(spark)))
     docs = [r for r in docs if model.predict(r.text)[0] != "und" and model.predict(r.text)[1] >= P.LEAST_LANGUAGE_SCORE]
-    groups = brute([simhash.fingerprint(r.text) for r in docs], 3)
-    docs = [r for k, r in enumerate(docs) if groups[k] == k]
+    stay = set(kept([(r.doc_id, r.text) for r in docs]))
+    docs = [r for r in docs if r.doc_id in stay]
     ix = bm25_decontamination.build_index([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     docs = [r for r in docs if not bm25_decontamination.matches(ix, r.text)]
     texts = {r.doc_id: r.text for r in docs}
