@@ -1,77 +1,5 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
+"""The corpus pipeline of the training-data operators; its stages are in lakeloom.llm.pipeline."""
 
-Part of the training-data operators (lakeloom.llm). Each stage takes (spark, docs, sf_dir) and works on
-all that its predecessor kept; all but the last return the columns of documents.
-"""
+from lakeloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lakeloom.llm import _common as C
-from lakeloom.llm import bm25_decontamination, bpe_automaton, jaccard_join, language_profiles, pii_surrogates
-
-#: Texts less alike to every profile than this are in none of the languages (the least of the test tables' documents has 0.5).
-LEAST_LANGUAGE_SCORE = 0.2
-
-
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key of id and text, and the key's name: rows can be joined back by it though ids may be null or repeat."""
-    key = C.fresh(docs, "row_key")
-    return docs.withColumn(key, F.md5(F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "text"))))), key
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents without a letter, or unlike every language's profile, go; `lang` becomes the predicted language.
-
-    Where no row has a language there are no profiles, and documents with a letter stay as they are.
-    """
-    profiles = language_profiles.train_profiles(docs)
-    if not profiles:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    lang, score = C.fresh(docs, "lang_pred"), C.fresh(docs, "score")
-    found = language_profiles.add_languages(docs, profiles, lang, score)
-    return found.where((F.col(lang) != language_profiles.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).withColumn("lang", F.col(lang)).select(*docs.columns)
-
-
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Jaccard 0.8 or more over shingles of five words: of each group of near copies the document with the smallest doc_id stays (of equal rows, one; null ids last)."""
-    keyed, key = _keyed(docs)
-    groups = jaccard_join.near_duplicates(keyed.select(key, "text"), key)
-    ids = keyed.select(key, "doc_id").groupBy(key, "doc_id").agg(F.count("*").alias("copies"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key, "copies")).alias("first")
-    stays = C.saved(groups.select(key, "component_id").distinct().join(ids, key).groupBy("component_id").agg(first).select(F.col(f"first.{key}").alias(key), "first.copies"))
-    once = keyed.join(stays.where("copies = 1").select(key), key, "left_semi")
-    often = keyed.join(stays.where("copies > 1").select(key), key, "left_semi").dropDuplicates([key])
-    return once.unionByName(often).select(*docs.columns)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that hold a test item go."""
-    held = C.fresh(docs, "held_items")
-    return bm25_decontamination.count_leaks(docs, C.table(spark, sf_dir, "benchmark"), held).where(F.col(held) == 0).select(*docs.columns)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: personal data become surrogates; n_chars follows the text."""
-    replaced = pii_surrogates.replace_entities(docs, pii_surrogates.default_key(spark), count_col=C.fresh(docs, "pii_entities"))
-    return replaced.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: (doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left."""
-    return bpe_automaton.token_digests(docs, C.tokenizer_file("byte_bpe_50k.json"))
-
-
-STAGES = [("language", language_stage), ("near_duplicates", dedup_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("bpe", token_stage)]
-#: SQL can't express these stages; tests compare run() with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written to the shared folder."""
-    docs = C.dealt(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = C.saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -20,9 +20,13 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the session names none (as in tests) a folder of this machine is set.
+    Only a local session (as in tests) may name none; it gets a folder of this machine. On a cluster
+    that would scatter a table over the executors' own disks, so it is an error there.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lakeloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lakeloom-"))
     return f"{sc.getCheckpointDir()}/lakeloom-{uuid.uuid4().hex}"
