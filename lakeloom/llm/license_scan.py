@@ -2,23 +2,27 @@
 
 DataFrame functions only.
 
-1. Notices: each line of a text that has a word of licences is a header candidate. Distinct lines are
-   scored once: words become rows (word, weight), are joined to the templates' words, and the products
-   are summed by line and template; divided by both norms this is the cosine. A text's licence is that
-   of its best line.
-2. Licence files: a whole text is scored in the same way against the templates and against whole
-   licences (licences/*.txt); one at or over FILE_SCORE is a licence file and speaks for its directory.
+1. Notices: each line of a text is a header candidate. Distinct lines are scored once: words become rows
+   (word, weight), are joined to the templates' words, and the products are summed by line and template;
+   divided by both norms this is the cosine. A text's licence is that of its best line.
+2. Licence files: a whole text is scored in the same way against whole licences (licences/*.txt); one at
+   or over FILE_SCORE is a licence file and speaks for its directory. Headers are like none of those.
 3. Inheritance: every directory takes the licence of the nearest directory at or above it that has a
    licence file, found by joining its ancestor paths; a text without a notice takes its directory's.
 
 Word weights are inverse document frequencies over the templates; words that no template has weigh
 as the rarest ones and only lengthen a line's norm. Among whole licences a word that all of them have
-weighs nothing, so that prose isn't like them by its common words. Templates are a fixed, small list, so their words
-may be broadcast.
+weighs nothing, so that prose isn't like them by its common words. Templates are a fixed, small list, so
+their words may be broadcast.
+
+Most texts are told to be out of reach before their words become rows: a cosine is at most the root of
+the template's squared weights of the words that it shares. essential() leaves out of each template the
+most ordinary words, as long as these alone can't reach the score; what has none of the others can't either.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -48,11 +52,9 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
     "Proprietary": ["All rights reserved", "Proprietary and confidential"],
 }
-#: A line without any of these is no candidate.
-TRIGGER = r"(?i)licen[cs]e|spdx|rights reserved|public domain|creative commons|permission|redistribution|proprietary"
-#: The same for Spark, with a quick test of the first letter.
-TRIGGER_FAST = "(?i)(?=[clprs])(?:" + TRIGGER.removeprefix("(?i)") + ")"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Words that any prose has, the most frequent first: essential() leaves them out in this order (fixed values).
+ORDINARY = {w: i for i, w in enumerate("the of and to a in that for with this is are by be as on at it an or v 1 2 3 4 not from any you use may work under free general other into person public version file files form forms later either without purpose following provided".split())}
 #: Cosine from which a line is a notice, and a whole text a licence file.
 NOTICE_SCORE, FILE_SCORE = 0.6, 0.7
 
@@ -78,14 +80,39 @@ class Templates:
             self.rows += [(number, name, w, n * self.idf[w] / norm, self.idf[w]) for w, n in sorted(c.items())]
 
 
-def cosines(spark: SparkSession, texts: DataFrame, templates: dict[str, list[str]], base: float = 1) -> DataFrame:
-    """(key, license, score): the best template of each (key, text) with distinct keys; ties go to the smaller identifier."""
-    model = Templates(templates, base)
-    table = F.broadcast(spark.createDataFrame(model.rows, "template int, license string, word string, share double, idf double"))  # fixed size
-    words = texts.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    def essential(self, score: float) -> set[str]:
+        """Words of which a text with this cosine to some template has one at least."""
+        out, vectors = set(), {}
+        for number, _, word, share, _ in self.rows:
+            vectors.setdefault(number, []).append((ORDINARY.get(word, len(ORDINARY)), len(word), word, share))
+        for words in vectors.values():
+            light = 0.0
+            for _, _, word, share in sorted(words):
+                light += share**2
+                if light >= (score - 1e-5) ** 2:
+                    out.add(word)
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(template, license, word, share, idf) from one literal."""
+        rows = [dict(zip(("template", "license", "word", "share", "idf"), r, strict=True)) for r in self.rows]
+        kind = "array<struct<template: int, license: string, word: string, share: double, idf: double>>"
+        return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+
+
+def any_of(words: set[str]) -> str:
+    """A pattern for texts in lower case that hold one of the words, by first letters."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by.setdefault(w[0], []).append(re.escape(w[1:]).replace("\\-", "-"))
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + ")" if by else "(?!)"
+
+
+def cosines(words: DataFrame, model: Templates) -> DataFrame:
+    """(key, license, score): the best template of each key of words (key, word, n); ties go to the smaller identifier. If all n of a key are multiplied nothing changes."""
+    table = F.broadcast(model.table(words.sparkSession))  # fixed size
     weight = F.col("n") * F.coalesce("idf", F.lit(model.unknown))
-    known = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "word string, idf double"))
-    weighed = words.join(known, "word", "left").select("key", "word", weight.alias("w"))
+    weighed = words.join(F.broadcast(model.table(words.sparkSession).select("word", "idf").distinct()), "word", "left").select("key", "word", weight.alias("w"))
     norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")).where("norm > 0")
     dots = weighed.join(table, "word").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     scored = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
@@ -93,32 +120,39 @@ def cosines(spark: SparkSession, texts: DataFrame, templates: dict[str, list[str
     return scored.groupBy("key").agg(best.alias("best")).select("key", "best.license", (-F.col("best.less")).alias("score"))
 
 
-def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def counted(texts: DataFrame, key: Column, text: Column) -> DataFrame:
+    """(key, word, n): counted in the tasks first, so the texts aren't moved."""
+    return texts.select(key.alias("key"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+
+
+def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, whole: dict[str, list[str]] | None = None) -> DataFrame:
     """df's columns and license, license_score, license_from: `notice`, `file`, the path of the directory it comes from, or null.
 
-    Null and empty texts have no notice of their own; a null path has no directory and inherits nothing;
-    directories with several licence files take the one with the best score, then the smaller identifier;
-    repeated rows repeat; columns named like the results or like internal ones are no problem (the former
-    are replaced); empty tables give empty ones.
+    Null and empty texts have no notice of their own, texts of any length are read whole; a null path has
+    no directory and inherits nothing; directories with several licence files take the one with the best
+    score, then the smaller identifier; repeated rows repeat; columns named like the results or like
+    internal ones are no problem (the former are replaced); empty tables give empty ones.
     """
-    spark, kept = df.sparkSession, [c for c in df.columns if c not in ("license", "license_score", "license_from")]
+    kept = [c for c in df.columns if c not in ("license", "license_score", "license_from")]
     text, path = F.col(text_col), F.col(path_col)
+    header, body = Templates(templates), Templates(bodies() if whole is None else whole, 0)
+    may_be = {"line": any_of(header.essential(NOTICE_SCORE)), "file": any_of(body.essential(FILE_SCORE))}
+    lowered = F.lower(text)
     at = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
-    candidate = F.coalesce(text.rlike(TRIGGER_FAST), F.lit(False))
+    candidate = F.coalesce(lowered.rlike(may_be["line"]) | lowered.rlike(may_be["file"]), F.lit(False))
     some = C.saved(df.where(candidate).select(F.md5(text).alias("key"), at.alias("dir"), text.alias("text")))
 
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license"))).alias("best")
-    texts = some.groupBy("key").agg(F.first("text").alias("text"))
-    files = cosines(spark, texts, templates).unionByName(cosines(spark, texts, bodies(), 0)).where(F.col("score") >= FILE_SCORE)
-    whole = C.saved(files.groupBy("key").agg(best).select("key", "best.license", (-F.col("best.less")).alias("score")))
-    lines = some.select("key", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where(F.col("line").rlike(TRIGGER_FAST)).distinct()
-    scored = cosines(spark, lines.select(F.col("line").alias("key"), F.col("line").alias("text")).distinct(), templates).where(F.col("score") >= NOTICE_SCORE)
+    files = C.saved(cosines(counted(some.where(F.lower("text").rlike(may_be["file"])), F.col("key"), F.col("text")), body).where(F.col("score") >= FILE_SCORE))
+    lines = some.select("key", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where(F.lower("line").rlike(may_be["line"])).distinct()
+    lines = C.saved(lines.withColumn("line_key", F.md5("line")))
+    scored = cosines(counted(lines.select("line_key", "line").distinct(), F.col("line_key"), F.col("line")), header).where(F.col("score") >= NOTICE_SCORE)
+    notices = lines.select("key", "line_key").join(scored.withColumnRenamed("key", "line_key"), "line_key").groupBy("key").agg(best.alias("notice"))
+    notices = notices.join(files.select("key", F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")).alias("file")), "key", "full")
+
+    found = some.where("dir is not null").select("key", "dir").distinct().join(files, "key")
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")))
-    notices = lines.join(scored.withColumnRenamed("key", "line"), "line").groupBy("key").agg(best.alias("notice"))
-    notices = notices.join(whole.select("key", F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")).alias("file")), "key", "full")
-
-    files = some.where("dir is not null").select("key", "dir").distinct().join(whole, "key")
-    declared = files.groupBy("dir").agg(best.alias("declared"))
+    declared = found.groupBy("dir").agg(best.alias("declared"))
     dirs = df.select(at.alias("dir")).where("dir is not null").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("up")))).alias("a")).select("dir", "a.*").distinct()
@@ -138,7 +172,8 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", template
 
 
 def document_path(*parts: Column) -> Column:
-    return F.concat_ws("/", *parts)
+    """source/lang/doc_id; null if one of them is."""
+    return F.concat(parts[0], *(x for p in parts[1:] for x in (F.lit("/"), p)))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,25 +183,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The query in DuckDB's SQL."""
-    model = Templates(TEMPLATES)
-    rows = ", ".join(f"({n}, '{name}', '{w}', {share!r}, {idf!r})" for n, name, w, share, idf in model.rows)
+    """The query in DuckDB's SQL: every line and every text is scored, none is left out beforehand."""
+    tables = []
+    for kind, model in (("line", Templates(TEMPLATES)), ("file", Templates(bodies(), 0))):
+        rows = ", ".join(f"({n}, '{name}', '{w}', {share!r}, {idf!r})" for n, name, w, share, idf in model.rows)
+        tables.append(f"SELECT '{kind}' AS kind, {model.unknown!r}::DOUBLE AS unknown, a AS template, b AS license, c AS word, d::DOUBLE AS share, e::DOUBLE AS idf FROM (VALUES {rows}) v(a, b, c, d, e)")
     return f"""
-    WITH docs AS (SELECT doc_id, text, source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS dir, md5(text) AS key, regexp_matches(text, '{TRIGGER}') AS candidate FROM documents),
-    candidates AS (SELECT key, any_value(text) AS text FROM docs WHERE candidate GROUP BY key),
-    lines AS (SELECT DISTINCT key, line FROM (SELECT key, unnest(string_split_regex(text, '\r\n|[\n\r]')) AS line FROM candidates) WHERE regexp_matches(line, '{TRIGGER}')),
-    units AS (SELECT DISTINCT 'line' AS kind, line AS key, line AS text FROM lines UNION ALL SELECT 'file', key, text FROM candidates),
+    WITH docs AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS dir, md5(text) AS key, text FROM documents),
+    texts AS (SELECT key, any_value(text) AS text FROM docs WHERE text IS NOT NULL GROUP BY key),
+    lines AS (SELECT DISTINCT key, unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS line FROM texts),
+    units AS (SELECT DISTINCT 'line' AS kind, line AS key, line AS text FROM lines UNION ALL SELECT 'file', key, text FROM texts),
     words AS (SELECT kind, key, w, count(*) AS n FROM (SELECT kind, key, unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM units) GROUP BY ALL),
-    templates(template, license, word, share, idf) AS (SELECT a, b, c, CAST(d AS DOUBLE), CAST(e AS DOUBLE) FROM (VALUES {rows}) v(a, b, c, d, e)),
-    weighed AS (SELECT kind, key, w, n * coalesce(idf, {model.unknown!r}::DOUBLE) AS x FROM words LEFT JOIN (SELECT DISTINCT word, idf FROM templates) ON w = word),
+    templates AS ({" UNION ALL ".join(tables)}),
+    known AS (SELECT DISTINCT kind, word, idf FROM templates), rare AS (SELECT DISTINCT kind, unknown FROM templates),
+    weighed AS (SELECT s.kind, key, w, n * coalesce(idf, unknown) AS x FROM words s JOIN rare r ON r.kind = s.kind LEFT JOIN known k ON k.kind = s.kind AND k.word = s.w),
     norms AS (SELECT kind, key, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL),
-    dots AS (SELECT kind, key, template, license, sum(x * share) AS dot FROM weighed JOIN templates ON w = word GROUP BY ALL),
-    best AS (SELECT kind, key, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (kind, key)
+    dots AS (SELECT s.kind, key, template, license, sum(x * share) AS dot FROM weighed s JOIN templates t ON t.kind = s.kind AND t.word = s.w GROUP BY ALL),
+    best AS (SELECT kind, key, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (kind, key) WHERE norm > 0
              QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY round(dot / norm, 6) DESC, license) = 1),
     files AS (SELECT key, license, score FROM best WHERE kind = 'file' AND score >= {FILE_SCORE}),
     notices AS (SELECT l.key, license, score FROM lines l JOIN best b ON b.kind = 'line' AND b.key = l.line AND score >= {NOTICE_SCORE}
                 QUALIFY row_number() OVER (PARTITION BY l.key ORDER BY score DESC, license) = 1),
-    declared AS (SELECT dir, license, score FROM docs JOIN files USING (key) WHERE candidate QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+    declared AS (SELECT dir, license, score FROM docs JOIN files USING (key) WHERE dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
     above AS (SELECT DISTINCT dir, n AS depth, array_to_string(string_split(dir, '/')[1:n], '/') AS up FROM docs, range(0, 3) r(n) WHERE n <= len(string_split(dir, '/'))),
     nearest AS (SELECT a.dir, a.up, d.license, d.score FROM above a JOIN declared d ON a.up = d.dir QUALIFY row_number() OVER (PARTITION BY a.dir ORDER BY depth DESC) = 1)
     SELECT doc_id, path, coalesce(f.license, n.license, i.license) AS license, coalesce(f.score, n.score, i.score) AS license_score,

@@ -25,7 +25,7 @@ def test_notices_of_the_documents(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in cases.documents(spark, sf).collect()}
     for r in A.op10_license_scan(spark, sf).collect():
-        lines = [x for line in re.split(r"\r\n|[\n\r\v\f\x85  ]", texts[r.doc_id]) if re.search(A.TRIGGER, line) for x in [slow_best(line, A.NOTICE_SCORE)] if x]
+        lines = [x for line in re.split("\r\n|[\n\r\v\f\x85\u2028\u2029]", texts[r.doc_id]) for x in [slow_best(line, A.NOTICE_SCORE)] if x]
         if r.license_from == "notice":
             best = max(lines, key=lambda x: (x[1], [-ord(ch) for ch in x[0]]))
             assert r.license == best[0] and abs(r.license_score - best[1]) < 2e-6
@@ -40,7 +40,7 @@ def test_query_equals_its_sql(spark):
 
 
 ROWS = [
-    ("a/LICENSE", "The MIT License (MIT)\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", 1),
+    ("a/LICENSE", A.bodies()["MIT"][0], 1),
     ("a/b/x.py", "code here", 2),
     ("a/b/c/y.py", "# Licensed under the Apache License, Version 2.0 (the \"License\");\nlong code " + "with many words that are no licence at all " * 9, 3),
     ("z/q", "none", 4),
@@ -50,7 +50,8 @@ ROWS = [
     ("a/b/n", None, 8),
     ("a/b/e", "", 9),
     ("a/b/e", "", 9),
-    ("a/b/COPYING", "SPDX-License-Identifier: MPL-2.0", 10),
+    ("a/b/COPYING", A.bodies()["MPL-2.0"][0], 10),
+    ("a/b/h.c", "SPDX-License-Identifier: ISC", 12),
     ("long/doc", "word " * 100_000 + "\nReleased under the MIT License.", 11),
 ]
 
@@ -61,8 +62,8 @@ def test_inheritance_and_hard_cases(spark):
     assert set(out.columns) == {*df.columns, "license_score", "license_from"}
     got = {r.key: (r.license, r.license_from) for r in out.collect()}
     assert got == {
-        1: ("MIT", "file"), 2: ("MPL-2.0", "/a/b"), 3: ("Apache-2.0", "notice"), 4: (None, None), 5: (None, None), 6: ("Proprietary", "file"),
-        7: (None, None), 8: ("MPL-2.0", "/a/b"), 9: ("MPL-2.0", "/a/b"), 10: ("MPL-2.0", "file"), 11: ("MIT", "notice"),
+        1: ("MIT", "file"), 2: ("MPL-2.0", "/a/b"), 3: ("Apache-2.0", "notice"), 4: (None, None), 5: (None, None), 6: ("Proprietary", "notice"),
+        7: (None, None), 8: ("MPL-2.0", "/a/b"), 9: ("MPL-2.0", "/a/b"), 10: ("MPL-2.0", "file"), 11: ("MIT", "notice"), 12: ("ISC", "notice"),
     }
     assert out.count() == len(ROWS) and A.scan(df.limit(0)).count() == 0
 
@@ -77,5 +78,46 @@ def test_whole_licences_are_inherited(spark):
     assert got == {f"{n}/LICENSE": (n, "file") for n in names} | {f"{n}/src/x.py": (n, f"/{n}") for n in names} | {"prose/a": (None, None), "prose/b": (None, None)}
 
 
+HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS."""
+
+
+def test_headers_do_not_speak_for_directories(spark):
+    rows = [("r/a.py", HEADER), ("r/b.py", "code"), (None, HEADER)]
+    got = [(r.path, r.license, r.license_from) for r in A.scan(spark.createDataFrame(rows, "path string, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([("r/a.py", "Apache-2.0", "notice"), ("r/b.py", None, None), (None, "Apache-2.0", "notice")], key=repr)
+
+
+def test_lines_without_the_word_licence(spark):
+    lines = {"Dedicated to CC0 1.0": "CC0-1.0", "CC0 1.0 Universal": "CC0-1.0", "Published by the Free Software Foundation, either version 3 or any later version": "GPL-3.0", "Mozilla Public, v. 2.0": "MPL-2.0"}
+    got = {r.text: r.license for r in A.scan(spark.createDataFrame([(t, t) for t in lines], "path string, text string")).collect()}
+    assert got == lines
+
+
+def test_what_is_left_out_is_out_of_reach():
+    """A text made of a template's words that aren't essential never reaches the score, whatever their counts."""
+    import random
+
+    rng = random.Random(1)
+    for model, least in ((A.Templates(A.TEMPLATES), A.NOTICE_SCORE), (A.Templates(A.bodies(), 0), A.FILE_SCORE)):
+        essential, vectors = model.essential(least), {}
+        for number, _, word, share, _ in model.rows:
+            vectors.setdefault(number, {})[word] = share
+        for v in vectors.values():
+            rest = {w: s for w, s in v.items() if w not in essential}
+            assert sum(s * s for s in rest.values()) < least**2
+            some = {w: s * rng.random() for w, s in rest.items()}
+            norm = math.sqrt(sum(s * s for s in some.values()))
+            assert not norm or sum(s * v[w] for w, s in some.items()) / norm < least
+
+
+def test_null_source_or_language_is_a_null_path(spark):
+    df = spark.createDataFrame([("s", "en", 1), (None, "en", 1), ("s", None, 1), ("s", "en", None)], "source string, lang string, doc_id long")
+    paths = [r[0] for r in df.select(A.document_path(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"))).collect()]
+    assert paths == ["s/en/1", None, None, None]
+
+
 def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Arrow|Pandas", A.op10_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString())
