@@ -64,12 +64,12 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Ite
             yield batch.slice(i, rows)
 
 
-def per_batch(df: DataFrame, columns: list[str], schema: str, rows: Callable[..., list]) -> DataFrame:
+def per_batch(df: DataFrame, columns: list[str], schema: str, rows: Callable[..., list], at_once: int = ROWS_PER_BATCH) -> DataFrame:
     """Calls rows(*lists of the columns) for slices of Arrow batches; it returns one list per column of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(schema)
-        for batch in pieces(batches):
+        for batch in pieces(batches, at_once):
             made = rows(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, out, strict=True)], schema=out)
 

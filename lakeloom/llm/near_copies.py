@@ -38,6 +38,8 @@ SHINGLE_WORDS, NUMERATOR, DENOMINATOR, RADIUS = 5, 4, 5, 3
 SAMPLED, FREQUENT, HOT = 16, 4, 200_000
 #: Bits of a sketch; rounds of stars before all that is left is compared.
 BITS, STARS = 512, 2
+#: Pairs whose whole texts are in a worker's hands at once.
+PAIRS = 64
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 #: A node's columns besides its number.
 NODE = ["fp", "size", "n_prefix", *SKETCH]
@@ -164,20 +166,29 @@ def common(tokens: DataFrame) -> DataFrame:
 class Links:
     """Nodes that are compared as whole sets, and the groups of those that were alike."""
 
-    def __init__(self, df: DataFrame, made: DataFrame, id_col: str, text_col: str, width: int):
+    def __init__(self, df: DataFrame, made: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int):
         self.df, self.made, self.id_col, self.text_col, self.width = df, made, id_col, text_col, width
+        self.sketches = {end: nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("size", *SKETCH))) for end in "ab"}
         self.groups: DataFrame | None = None  # (node, group) of merged nodes
-        self.tried: DataFrame | None = None  # (a, b) that were compared
+        self.tried: DataFrame | None = None  # (a, b), in both orders, of what was compared
 
     def compare(self, pairs: DataFrame) -> int:
         """Merges the groups of pairs (a, b) that are alike; returns how many pairs were."""
-        found = C.saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tried is not None:
-            found = C.saved(found.join(self.tried, ["a", "b"], "left_anti"))
-        self.tried = found if self.tried is None else self.tried.unionByName(found)
-        asked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-        one = C.saved(self.made.join(asked, "node", "left_semi").groupBy("node").agg(F.min(self.id_col).alias(self.id_col)))
-        texts = C.saved(self.df.select(self.id_col, F.col(self.text_col).alias("t")).join(C.small(one), self.id_col).dropDuplicates(["node"]).select("node", "t"))
+            found = found.join(self.tried, ["a", "b"], "left_anti")
+        found = C.saved(found.join(self.sketches["a"], "a").join(self.sketches["b"], "b").where(may_be_alike()).select("a", "b"))
+        back = found.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        self.tried = found.unionByName(back) if self.tried is None else self.tried.unionByName(found).unionByName(back)
+        degrees = C.saved(found.unionByName(back).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")))
+        one = C.saved(self.made.join(degrees, "node").groupBy("node").agg(F.min(self.id_col).alias(self.id_col)))
+        texts = C.saved(self.df.select(self.id_col, F.col(self.text_col).alias("t")).join(C.small(one), self.id_col).select("node", "t"))
+        if texts.count() > one.count():  # repeated rows
+            texts = C.saved(texts.dropDuplicates(["node"]))
+        # the text of the end with fewer pairs travels to that of the other, which most of its pairs share
+        n = {end: degrees.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")) for end in "ab"}
+        more = F.col("n_a") > F.col("n_b")
+        turned = found.join(n["a"], "a").join(n["b"], "b").select(F.when(more, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(more, F.col("a")).otherwise(F.col("b")).alias("b"))
         width = self.width
 
         def alike(a, b, s, t):
@@ -187,8 +198,8 @@ class Links:
                 marks.append(len(np.intersect1d(x, y, True)) >= least_overlap(len(x), len(y)))
             return [a, b, marks]
 
-        both = found.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.withColumnRenamed("node", "b"), "b")
-        links = C.saved(C.per_batch(both, ["a", "b", "s", "t"], "src long, dst long, linked boolean", alike).where("linked").select("src", "dst"))
+        both = turned.join(texts.select(F.col("node").alias("a"), F.col("t").alias("s")), "a").join(texts.withColumnRenamed("node", "b"), "b")
+        links = C.saved(C.per_batch(both, ["a", "b", "s", "t"], "src long, dst long, linked boolean", alike, PAIRS).where("linked").select("src", "dst"))
         n = links.count()
         if n:
             self._merge(links)
@@ -222,8 +233,11 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return far.unionByName(equal)
 
 
-def similar_sizes(a: str, b: str) -> Column:
-    return (NUMERATOR * F.col(a) <= DENOMINATOR * F.col(b)) & (NUMERATOR * F.col(b) <= DENOMINATOR * F.col(a))
+def may_be_alike() -> Column:
+    """Bounds that sets a and b with Jaccard 0.8 or more keep: their sizes, and the bits in which their sketches differ."""
+    a, b = F.col("size_a"), F.col("size_b")
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
+    return (NUMERATOR * a <= DENOMINATOR * b) & (NUMERATOR * b <= DENOMINATOR * a) & ((DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (a + b))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
@@ -235,40 +249,36 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", width: i
     """
     made = C.saved(read(df, id_col, text_col, width))
     nodes = C.saved(made.groupBy("node").agg(*(F.first(c).alias(c) for c in NODE)))
-    links = Links(df, made, id_col, text_col, width)
-    links.compare(by_fingerprint(nodes.where("size > 0")))
+    links = Links(df, made.select(id_col, "node"), nodes, id_col, text_col, width)
+    links.compare(by_fingerprint(nodes.where("size > 0").select("node", "fp")))
     shared = C.saved(common(made.where("tokens is not null").select(F.explode("tokens").alias("token"), "node")))
     # shingles of a node's prefix that it has to itself: the base of a group of copies has the fewest
     own = shared.groupBy("node").agg(F.count("*").alias("n"))
-    nodes = C.saved(nodes.join(own, "node").withColumn("alone", F.col("n_prefix") - F.col("n")).drop("n", "n_prefix", "fp"))
+    known = C.saved(nodes.select("node", "n_prefix").join(own, "node").select("node", (F.col("n_prefix") - F.col("n")).alias("alone")))
+    rows = shared
     for _ in range(STARS):
-        rows, best = mixed(links, nodes, shared)
-        stars = rows.join(best, "token").where(F.col("group") != F.col("hub_group")).where(similar_sizes("size", "hub_size"))
-        met = stars.groupBy("node", "hub").agg(F.count("*").alias("n"))
-        if links.tried is not None:
-            done = links.tried.unionByName(links.tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            met = met.join(done.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"], "left_anti")
+        rows, best = mixed(links, known, rows.select("token", "node"))
+        met = rows.join(best, "token").where(F.col("group") != F.col("hub_group")).groupBy("node", "hub").agg(F.count("*").alias("n"))
+        met = met.join(links.tried.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"], "left_anti")
         once = met.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top")).select(F.col("node").alias("a"), F.col("top.hub").alias("b"))
         if not links.compare(once):
             break
-    rows, best = mixed(links, nodes, shared)
-    outside = rows.join(best.select("token", "hub_group"), "token").where(F.col("group") != F.col("hub_group"))
-    left = outside.select("token", "hub_group", *(F.col(c).alias(f"{c}_a") for c in ("node", "group", "size", *SKETCH)))
-    once = (F.col("group") == F.col("hub_group")) | (F.col("group_a") < F.col("group"))
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(c))) for c in SKETCH), F.lit(0))
-    near = similar_sizes("size_a", "size") & ((DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("size_a") + F.col("size")))
-    pairs = left.join(rows, (left.token == rows.token) & (F.col("group_a") != F.col("group")) & once & near)
-    links.compare(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")))
-    of = links.grouped(made.select(id_col, "node"))
-    low = of.groupBy("group").agg(F.min(id_col).alias("component_id"))
-    return of.join(low, "group").select(id_col, "component_id")
-
-
-def mixed(links: Links, nodes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the tokens whose nodes are in different groups: (token, node, group, size, alone, SKETCH), and (token, hub, hub_group, hub_size) of its largest group."""
-    rows = shared.join(links.grouped(nodes), "node")
+    rows, best = mixed(links, known, rows.select("token", "node"))
+    of = {end: rows.join(links.sketches[end].withColumnRenamed(end, "node"), "node").withColumnsRenamed({"node": end, "group": f"group_{end}"}).drop("alone") for end in "ab"}
+    outside = of["a"].join(best.select("token", "hub_group"), "token").where(F.col("group_a") != F.col("hub_group"))
+    once = (F.col("group_b") == F.col("hub_group")) | (F.col("group_a") < F.col("group_b"))
+    pairs = outside.join(of["b"], (outside.token == of["b"].token) & (F.col("group_a") != F.col("group_b")) & once & may_be_alike())
+    links.compare(pairs.select("a", "b"))
+    every = links.grouped(made.select(id_col, "node"))
+    low = every.groupBy("group").agg(F.min(id_col).alias("component_id"))
+    return every.join(low, "group").select(id_col, "component_id")
+
+
+def mixed(links: Links, known: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the tokens whose nodes are in different groups: (token, node, alone, group), and (token, hub, hub_group) of its largest group."""
+    rows = rows.join(C.small(C.saved(links.grouped(known))), "node")
     several = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
     rows = C.saved(rows.join(several, "token", "left_semi"))
-    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("n"), F.min(F.struct("alone", "node", "size")).alias("hub"))
+    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("n"), F.min(F.struct("alone", "node")).alias("hub"))
     top = sizes.groupBy("token").agg(F.max(F.struct("n", "group", "hub")).alias("top"))
-    return rows, C.saved(top.select("token", F.col("top.hub.node").alias("hub"), F.col("top.group").alias("hub_group"), F.col("top.hub.size").alias("hub_size")))
+    return rows, C.saved(top.select("token", F.col("top.hub.node").alias("hub"), F.col("top.group").alias("hub_group")))
