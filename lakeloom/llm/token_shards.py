@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from lakeloom.llm import _common as C
 from lakeloom.llm.bpe_automaton import byte_symbols
 
-#: About so many documents train the dictionary, of at most so many bytes.
-SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 1_000, 65_536, 3
+#: So many documents train the dictionary, by so many bytes of their ids at most; the dictionary's bytes; zstandard's level.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1_000, 65_536, 65_536, 3
+#: Bytes of text that a bucket is meant to hold.
+BUCKET_BYTES = 128 << 20
 #: A block ends at so many documents or bytes of frames.
 BLOCK_DOCS, BLOCK_BYTES = 1_024, 4 << 20
 #: Words of each of two generations whose ids a worker remembers.
@@ -73,11 +75,10 @@ class WordEncoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if SPECIAL in text or OTHER.search(text):
             return self._ids(text).tobytes()
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-            if OTHER.search(text):
-                return self._ids(text).tobytes()
-        words = WORD.findall(text.lower())
+        lowered = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower()
+        if OTHER.search(lowered):  # some capitals' lower case lies above U+024F, or is two characters
+            return self._ids(text).tobytes()
+        words = WORD.findall(lowered)
         try:
             return b"".join(map(self.young.__getitem__, words))
         except KeyError:
@@ -94,14 +95,19 @@ def encoder(path: str) -> WordEncoder:
 
 
 def train_dictionary(df: DataFrame, path: str, end_id: int, id_col: str, text_col: str, sample: int = SAMPLE_DOCS) -> bytes:
-    """A dictionary from about `sample` documents, picked by a hash of their id; b"" if there are too few."""
-    every = max(1, df.count() // sample)
+    """A dictionary from about `sample` documents, those whose hash of id and text is lowest; b"" if there are too few.
+
+    Only the dictionary depends on the sample, so every document is written whole, whatever is in it.
+    For training a document counts by its first SAMPLE_BYTES at most: the driver gets `sample` times that.
+    """
     end = np.array([end_id], "<u4").tobytes()
-    some = df.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0)
-    got = C.per_batch(some, [text_col], "ids binary", lambda texts: [[(encoder(path).encode(t or "") + end)[:65536] for t in texts]])
-    parts = sorted(r[0] for r in got.limit(4 * sample).collect())
+    order = F.xxhash64(F.col(id_col), F.col(text_col))
+    low = df.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = df.where(order <= low) if low is not None else df.limit(0)
+    got = C.per_batch(some.select(order.alias("h"), text_col), ["h", text_col], "h long, ids binary", lambda hs, texts: [hs, [(encoder(path).encode(t or "") + end)[:SAMPLE_BYTES] for t in texts]])
+    parts = sorted(bytes(r.ids) for r in got.orderBy("h", "ids").limit(sample).collect())
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(p) for p in parts]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -113,23 +119,24 @@ def write_store(df: DataFrame, target: str, path: str, end_id: int = 1, id_col:
     ordered by their ids' checksum, further columns are left out, an empty table writes an empty store.
     """
     spark = df.sparkSession
-    C.small_batches(spark)
+    C.ship(spark)
     if dictionary is None:
         dictionary = train_dictionary(df, path, end_id, id_col, text_col)
     sha = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     bounds = np.unique(np.array(df.approxQuantile(id_col, [i / n for i in range(1, n)], 0.1 / n) if n > 1 else [], float)).astype("int64")
     end = np.array([end_id], "<u4").tobytes()
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, press = encoder(path), _compressor(dictionary)
-        for batch in batches:
+        for batch in C.pieces(batches):
             keys, out = batch.column(0), [words.encode(t or "") + end for t in batch.column(1).to_pylist()]
             bucket = np.searchsorted(bounds, keys.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys.cast(pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array([press.compress(x) for x in out], pa.binary())], ["bucket", "doc_id", "n", "crc", "frame"])
 
     made = df.select(id_col, text_col).mapInArrow(frames, "bucket int, doc_id long, n long, crc long, frame binary")
-    dealt = made.repartition(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "crc")
+    dealt = made.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "crc")
     schema = "bucket int, block int, first_doc long, last_doc long, first_start long, doc_ids array<long>, counts array<long>, offsets array<long>, dictionary_sha256 string, payload binary"
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +203,7 @@ def read_store(spark: SparkSession, target: str, dictionary: bytes, doc_ids: lis
                 at += n
         return out if ids else out[:4]
 
-    C.small_batches(spark, 16)
-    return C.per_batch(store, ["bucket", "first_start", "doc_ids", "counts", "offsets", "dictionary_sha256", "payload"], schema, rows)
+    return C.per_batch(store, ["bucket", "first_start", "doc_ids", "counts", "offsets", "dictionary_sha256", "payload"], schema, rows, at_once=4)
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

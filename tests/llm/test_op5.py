@@ -43,6 +43,31 @@ def test_encoder_equals_the_library(library):
         assert words.encode(s) == np.array(library.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_every_code_point_equals_the_library(library):
+    """Alone, between letters, and before and after a capital."""
+    words = A.encoder(PATH)
+    texts = [t for i in range(0x20000) if not 0xD800 <= i < 0xE000 for c in [chr(i)] for t in (c, f"a{c}b", f"{c}X {c}")]
+    for i in range(0, len(texts), 20_000):
+        part = texts[i : i + 20_000]
+        for t, want in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert words.encode(t) == np.array(want.ids, "<u4").tobytes(), ascii(t)
+
+
+def test_the_dictionary_does_not_depend_on_the_order_of_rows(spark):
+    docs = cases.documents(spark)
+    same = [A.train_dictionary(d, PATH, 1, "doc_id", "text", sample=150) for d in (docs, docs.orderBy(docs.doc_id.desc()), docs.repartition(5))]
+    assert same[0] and len(set(same)) == 1
+
+
+def test_equal_ids_and_one_bucket_a_task(spark, library):
+    rows = [(7, f"text {i}") for i in range(40)] + [(i, "x") for i in range(100, 140)]
+    target = C.shared_folder(spark)
+    dictionary = A.write_store(cases.frame(spark, rows), target, PATH, buckets=6)
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in A.read_store(spark, target, dictionary).collect()), key=lambda r: r[1])
+    assert got == wanted(library, rows)
+    assert spark.read.parquet(target).select("bucket").distinct().count() >= 3
+
+
 def test_hard_cases_and_access_by_id(spark, library):
     df, target = cases.frame(spark), C.shared_folder(spark)
     dictionary = A.write_store(df, target, PATH, buckets=3)
