@@ -15,7 +15,9 @@ A document is scored in three steps that never lose a part at or above the thres
    pivot is where the lists' maxima first reach the threshold; if the maxima of the blocks there don't,
    all lists up to it jump past the nearest block's end; else the pivot is scored.
 3. Of the items found, the question (all but the last sentence) and the answer (the last sentence)
-   must both come in the text around the window, by their shingles of five words.
+   must both come in the text around the window: the longest sequence of their words that comes there in
+   the same order. A changed word costs one word, however short the answer is; an answer that is
+   missing fails. So do a text's words in another order.
 """
 
 from __future__ import annotations
@@ -38,11 +40,10 @@ from lakeloom.llm import _common as C
 #: BM25's two constants; share of an item's weight that makes it a candidate.
 K1, B, THRESHOLD = 1.2, 0.75, 0.7
 WINDOW, STRIDE, PART = 128, 64, 64
-#: Words of a shingle; share that must be in the text, of the shingles of an item's question and of its answer's
-#: (a word changed in a copy costs five shingles).
-SHINGLE_WORDS, OVERLAP = 5, 0.5
-#: Postings of a block; bytes of items in one broadcast index (more items: more indexes, one after the other).
-BLOCK, INDEX_BYTES = 32, 32 << 20
+#: Shares of the words that must come in order: of an item's question and its answer, or of the whole item.
+OVERLAP, WHOLE = 0.6, 0.75
+#: Postings of a block; bytes of items in one index, which is fifty times as large in memory (more items: more indexes, one after the other).
+BLOCK, INDEX_BYTES = 32, 3 << 20
 #: Cells of an array of sums by window and part, for each posting that is summed; if there were more, sums are made by sorting.
 DENSE = 64
 
@@ -74,11 +75,26 @@ class Index:
     essential: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # (part, weight)
     item_of: list[int] = field(default_factory=list)
     part_item: list[int] = field(default_factory=list)
-    shingles: list[tuple[set, set, int]] = field(default_factory=list)  # of an item's question, its answer, words of each
+    items: list[tuple[list[str], list[str]]] = field(default_factory=list)  # words of the question, of the answer
 
 
-def shingles(words: list[str], n: int = SHINGLE_WORDS) -> set[tuple[str, ...]]:
-    return set(zip(*(words[i:] for i in range(n)), strict=False))
+def in_order(wanted: list[str], words: list[str]) -> int:
+    """Length of the longest common subsequence, by one addition of long integers for each word that is wanted."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(wanted):
+        places[w] = places.get(w, 0) | 1 << i
+    every = row = (1 << len(wanted)) - 1
+    for w in words:
+        if (m := places.get(w)) is not None:
+            met = row & m
+            row = (row + met | row - met) & every
+    return len(wanted) - row.bit_count()
+
+
+def overlaps(item: tuple[list[str], list[str]], words: list[str]) -> tuple[float, float, float]:
+    """Shares of the question's, the answer's and all of the item's words that come in the same order."""
+    q, a = item
+    return in_order(q, words) / max(1, len(q)) if q else 1.0, in_order(a, words) / max(1, len(a)), in_order(q + a, words) / max(1, len(q) + len(a))
 
 
 def build_index(items: list[tuple[int, str]], threshold: float = THRESHOLD) -> Index:
@@ -87,11 +103,10 @@ def build_index(items: list[tuple[int, str]], threshold: float = THRESHOLD) -> I
         words = words_of(text)
         if not words:
             continue
-        q, a = question_and_answer(text)
-        width, n = min(SHINGLE_WORDS, len(words)), -(-len(words) // PART)
-        ix.shingles.append((shingles(words[: max(len(q), width)], width), shingles(words[-max(len(a), width) :], width), width))
+        n = -(-len(words) // PART)
+        ix.items.append(question_and_answer(text))
         for i in range(n):
-            parts.append((len(ix.shingles) - 1, Counter(words[len(words) * i // n : len(words) * (i + 1) // n])))
+            parts.append((len(ix.items) - 1, Counter(words[len(words) * i // n : len(words) * (i + 1) // n])))
         ix.item_of.append(key)
     df = Counter(w for _, c in parts for w in c)
     mean = sum(sum(c.values()) for _, c in parts) / max(1, len(parts))
@@ -201,12 +216,10 @@ def matches(ix: Index, text: str | None, threshold: float = THRESHOLD) -> list[t
             item = ix.part_item[part]
             if item in best and best[item][1] >= score:
                 continue
-            q, a, width = ix.shingles[item]
-            room = len(q) + len(a) + WINDOW
-            there = shingles(words[max(0, s - room) : e + room], width)
-            row = (ix.item_of[item], score, len(q & there) / len(q), len(a & there) / len(a), s, e)
-            if row[2] >= OVERLAP <= row[3]:
-                best[item] = row
+            room = sum(map(len, ix.items[item])) + WINDOW
+            q, a, whole = overlaps(ix.items[item], words[max(0, s - room) : e + room])
+            if (q >= OVERLAP <= a) or whole >= WHOLE:
+                best[item] = (ix.item_of[item], score, q, a, s, e)
     return [best[i] for i in sorted(best)]
 
 
@@ -245,9 +258,25 @@ def indexes(items: DataFrame, item_col: str, text_col: str, threshold: float, in
 
 
 def count_leaks(df: DataFrame, items: DataFrame, count_col: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """df and count_col, a name that it doesn't have: how many test items its row holds; nothing is shuffled."""
-    shared = list(indexes(items, item_col, item_text_col, threshold, index_bytes))
-    return C.with_columns(df, [text_col], f"{count_col} int", lambda texts: [[sum(len(matches(ix.value, t, threshold)) for ix in shared) for t in texts]])
+    """df and count_col, a name that it doesn't have: how many test items its row holds; nothing is shuffled.
+
+    Null and empty texts hold none; repeated rows repeat. Of several indexes one is held at a time: what
+    it has counted is written to the shared folder before the next one is built.
+    """
+    before = None
+    for index in indexes(items, item_col, item_text_col, threshold, index_bytes):
+
+        def held(texts, sofar=None, index=index):
+            return [[n + len(matches(index.value, t, threshold)) for t, n in zip(texts, sofar or [0] * len(texts), strict=True)]]
+
+        if before is None:
+            df = C.with_columns(df, [text_col], f"{count_col} int", held)
+        else:
+            df, now = C.saved(df), C.fresh(df, f"{count_col}_now")
+            before.unpersist()
+            df = C.with_columns(df, [text_col, count_col], f"{now} int", held).withColumn(count_col, F.col(now)).drop(now)
+        before = index
+    return df
 
 
 def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,63 @@ from tests.llm import cases
 SF = "/root/testdata/sf0.01"
 
 
+def slow_in_order(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_in_order_equals_a_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        assert A.in_order(a, b) == slow_in_order(a, b)
+
+
+def test_copies_with_changed_words(spark):
+    """One word in 12 changed, at random places or at every place in turn: nine of ten copies are found at least, and no text of other words."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    ix, rng = A.build_index(items), random.Random(4)
+    docs = [r.text for r in cases.documents(spark, SF).limit(400).collect()]
+    filler = lambda: " ".join(A.words_of(rng.choice(docs))[:150])
+    for every, least in ((30, 0.97), (12, 0.9)):
+        found = n = 0
+        for key, text in items:
+            words = text.split()
+            for i in range(rng.randrange(every), len(words), every):
+                words[i] = f"new{i}"
+            found += key in [m[0] for m in A.matches(ix, f"{filler()} {' '.join(words)} {filler()}")]
+            n += 1
+        assert found >= least * n, (every, found, n)
+    found = n = 0
+    for key, text in items[:20]:
+        for i in range(len(text.split())):
+            words = text.split()
+            words[i] = "changed"
+            found += key in [m[0] for m in A.matches(ix, " ".join(words))]
+            n += 1
+    assert found >= 0.97 * n, (found, n)
+    for key, text in items:  # the same words in another order are another text
+        words = text.split()
+        rng.shuffle(words)
+        if len(words) > 20:
+            assert key not in [m[0] for m in A.matches(ix, " ".join(words))]
+
+
 def test_every_copy_is_found_and_clean_documents_are_not(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     squeezed = {k: " ".join(A.words_of(t)) for k, t in items.items()}
+    texts = {r.doc_id: r.text for r in cases.documents(spark, SF).collect()}
     want = {(r.doc_id, k) for r in cases.documents(spark, SF).collect() for w in [" ".join(A.words_of(r.text))] for k, t in squeezed.items() if t in w}
     got = {(r.doc_id, r.item_id) for r in A.op8_bm25_decontamination(spark, SF).collect()}
     assert want and want <= got
     for doc, item in got - want:  # near copies only
-        row = A.op8_bm25_decontamination(spark, SF).where(f"doc_id = {doc} and item_id = {item}").first()
-        assert row.question_overlap >= A.OVERLAP <= row.answer_overlap
+        words, whole = A.words_of(texts[doc]), A.words_of(items[item])
+        assert slow_in_order(whole, words) >= A.OVERLAP * len(whole)
 
 
 def test_block_max_wand_equals_scoring_everything(monkeypatch):
@@ -62,11 +110,12 @@ def test_sums_by_sorting_equal_sums_in_an_array(monkeypatch):
 def test_hard_cases(spark):
     items = spark.createDataFrame([(1, "What is the colour of the sky on a clear day? It is blue as everyone knows."), (2, None), (None, "one two"), (3, ""), (4, "What is the colour of the sky on a clear day? It is blue as everyone knows.")], "item_id long, text string")
     hit = "Before. WHAT is the colour of the sky, on a clear day? It is blue as everyone knows. After. "
-    df = cases.frame(spark, [*cases.TEXTS, (10, hit), (10, hit), (11, "filler words all over here " * 3000 + hit), (12, "What is the colour of the sky on a clear day? Nobody can tell."), (13, "say one two now")])
+    df = cases.frame(spark, [*cases.TEXTS, (10, hit), (10, hit), (11, "filler words all over here " * 3000 + hit), (12, "What is the colour of the sky on a clear day? Nobody can tell."), (14, "Of all that is known the colour of the sky is what people ask on a clear day."), (13, "say one two now")])
     got = cases.keyed((r.doc_id, r.item_id) for r in A.contaminated(df, items).collect())
     assert got == cases.keyed([(10, 1), (10, 1), (10, 4), (10, 4), (11, 1), (11, 4), (13, None)])
     several = A.contaminated(df, items, index_bytes=60)
     assert cases.keyed((r.doc_id, r.item_id) for r in several.where("item_id is not null").collect()) == [g for g in got if g[1]]
     assert A.contaminated(df.limit(0), items).count() == 0 == A.contaminated(df, items.limit(0)).count()
-    counted = A.count_leaks(df, items, "held").select("doc_id", "held").collect()
-    assert sorted((r.doc_id, r.held) for r in counted if r.held) == [(10, 2), (10, 2), (11, 2), (13, 1)]
+    for size in (A.INDEX_BYTES, 60):
+        counted = A.count_leaks(df, items.where("item_id is not null"), "held", index_bytes=size).select("doc_id", "held").collect()
+        assert sorted((r.doc_id, r.held) for r in counted if r.held) == [(10, 2), (10, 2), (11, 2)] and len(counted) == df.count()
