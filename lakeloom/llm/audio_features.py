@@ -189,8 +189,9 @@ def extract(df: DataFrame, media_col: str = "media", id_cols: tuple[str, ...] =
 
     Payload columns describe the samples as read back from the file, `feature` is the SHA-256 of the
     Arrow stream, segments holds start and end seconds in turn, tensors is the stream itself. A null file
-    has nulls throughout; a file that isn't WAV is an error; repeated rows repeat; ids may be null; an
-    empty table gives an empty one.
+    has nulls throughout; a file that isn't WAV is an error; files of any length are worked through in
+    blocks; repeated rows repeat; ids may be null; further columns, whatever their names, are left out;
+    an empty table gives an empty one.
     """
 
     id_cols = list(id_cols)
@@ -215,7 +216,7 @@ def extract(df: DataFrame, media_col: str = "media", id_cols: tuple[str, ...] =
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text as a WAV file, read back and analysed."""
+    """Every document's text as a WAV file, written to the shared folder, read back and analysed; `tensors` are the features themselves."""
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     media = C.dealt(spark, sf_dir, "documents").select("doc_id", size.alias("n_bytes"), wav_of_text(F.col("text")).alias("media"))
-    return extract(media, id_cols=("doc_id", "n_bytes"), tensors=False)
+    return extract(C.saved(media), id_cols=("doc_id", "n_bytes"))

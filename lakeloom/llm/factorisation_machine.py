@@ -118,7 +118,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """A model from about `rows` labelled rows at most (rows with a null id or label don't count).
 
-    The sample is picked by a hash of the id among the labels, and only its input numbers are collected.
+    The sample is picked by a hash of the id among the labels: the rows whose hash is lowest, with those
+    of equal ids in a fixed order, so that equal tables give equal models. Only its input numbers are
+    collected.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     every = -(-max(1, known.count()) // rows)
@@ -128,15 +130,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def made(ids, texts, chars, marks):
         return [ids, marks, [inputs(t, c) for t, c in zip(texts, chars, strict=True)]]
 
-    got = sorted(C.per_batch(some, ["id", "t", "c", "label"], "id long, label int, x array<int>", made).limit(2 * rows).collect())
+    read = C.per_batch(some, ["id", "t", "c", "label"], "id long, label int, x array<int>", made)
+    got = sorted(read.orderBy(F.xxhash64("id"), "id", "label", "x").limit(2 * rows).collect())
     return fit([np.array(r.x, np.int32) for r in got], np.array([r.label for r in got], float))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """(id_col, score double) of every row.
 
-    A null text is the empty one and has a score as any other, a null n_chars is the text's length,
-    repeated rows repeat, ids may be null, further columns are left out, an empty table gives an empty one.
+    A null text is the empty one and has a score as any other, texts of any length are read whole, a null
+    n_chars is the text's length, repeated rows repeat, ids may be null, further columns are left out, an empty table gives an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: inputs times (1 + factors) numbers
 

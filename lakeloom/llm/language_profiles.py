@@ -131,7 +131,8 @@ class Profiles:
 def predict_languages(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) of every row; null texts and texts without a letter are `und` with score 0.
 
-    Repeated rows repeat, ids may be null, further columns are left out, an empty table gives an empty one.
+    Texts of any length are read whole, repeated rows repeat, ids may be null, further columns are left
+    out, an empty table gives an empty one.
     """
 
     def rows(keys, texts):

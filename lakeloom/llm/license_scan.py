@@ -105,7 +105,7 @@ def any_of(words: set[str]) -> str:
     by: dict[str, list[str]] = {}
     for w in sorted(words):
         by.setdefault(w[0], []).append(re.escape(w[1:]).replace("\\-", "-"))
-    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + ")" if by else "(?!)"
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + ")(?![a-z0-9])" if by else "(?!)"
 
 
 def cosines(words: DataFrame, model: Templates) -> DataFrame:

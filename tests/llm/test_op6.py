@@ -40,3 +40,11 @@ def test_hard_cases(spark):
     assert A.score(docs.limit(0), model).count() == 0
     none = A.train(docs.limit(0), labels.limit(0))
     assert {r.score > 0 for r in A.score(docs, none).collect()} == {True}
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark):
+    docs = cases.documents(spark)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    labels = labels.unionByName(labels.limit(20))
+    same = [A.train(d, m, rows=40) for d, m in ((docs, labels), (docs.repartition(7), labels.orderBy(labels.doc_id.desc())))]
+    assert same[0].bias == same[1].bias and (same[0].vectors == same[1].vectors).all()
