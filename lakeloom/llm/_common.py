@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 
 from lakeloom.tables import shared_folder, table  # noqa: F401 (used by the operators)
 
+#: Bytes of an Arrow batch that travels to a Python worker.
+BATCH_BYTES = "4m"
 #: Rows whose whole texts are Python objects at once.
 ROWS_PER_BATCH = 512
 
@@ -26,8 +28,14 @@ def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Before a Python stage: workers get this package (code only; the copy goes when the driver ends)."""
-    sc = spark.sparkContext
+    """Before a Python stage: workers get this package (code only; the copy goes when the driver ends).
+
+    Arrow batches are bounded by BATCH_BYTES where the session has Spark's own, larger bound: once, with
+    the same value for all operators, so that no plan depends on what ran before it.
+    """
+    sc, bound = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(bound, BATCH_BYTES)
     if _shipped.get("to") != sc.applicationId:
         root, folder = Path(__file__).resolve().parents[1], tempfile.TemporaryDirectory(prefix="lakeloom-")
         target = Path(folder.name) / "lakeloom_package.zip"

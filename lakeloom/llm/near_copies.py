@@ -17,6 +17,8 @@ fingerprints find most links here, and an exact search finds the rest:
 5. What is left: pairs of a shingle that are in different groups, not both in the largest one, and that pass
    two bounds (sizes; sketches, as two sets differ in at least as many shingles as their sketches in bits)
    are compared as whole sets. No pair is lost.
+
+Before whole texts are moved to be compared, pairs pass the sketches' bound again with WIDE bits.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ SHINGLE_WORDS, NUMERATOR, DENOMINATOR, RADIUS = 5, 4, 5, 3
 #: One of so many texts is sampled; shingles of so many sampled sets are frequent; frequent ones that are kept, at most.
 SAMPLED, FREQUENT, HOT = 16, 4, 200_000
 #: Bits of a sketch; rounds of stars before all that is left is compared.
-BITS, STARS = 512, 2
+BITS, WIDE, STARS = 512, 4096, 2
 #: Pairs whose whole texts are in a worker's hands at once.
 PAIRS = 64
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
@@ -70,9 +72,9 @@ def least_overlap(a, b):
     return -(-NUMERATOR * (a + b) // (NUMERATOR + DENOMINATOR))
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """Parities of the shingles on each bit, as BITS / 64 numbers: of two sketches no more bits differ than shingles of their sets."""
-    odd = np.bincount((own & (BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def sketch(own: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parities of the shingles on each bit, as bits / 64 numbers: of two sketches no more bits differ than shingles of their sets."""
+    odd = np.bincount((own & (bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -104,10 +106,10 @@ def frequent(df: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
 
 
 def read(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id_col, node, NODE, tokens) of every row; tokens, the prefix, is null where a task has met the node before."""
+    """(id_col, node, NODE, wide, tokens) of every row; tokens, the prefix, and wide, the long sketch, are null where a task has met the node before."""
     spark, kind = df.sparkSession, dict(df.dtypes)[id_col].replace("bigint", "long")
     hot = spark.sparkContext.broadcast(frequent(df, text_col, width))  # HOT numbers at most
-    schema = f"{id_col} {kind}, node long, fp long, size long, n_prefix long, " + ", ".join(f"{c} long" for c in SKETCH) + ", tokens array<long>"
+    schema = f"{id_col} {kind}, node long, fp long, size long, n_prefix long, " + ", ".join(f"{c} long" for c in SKETCH) + ", wide binary, tokens array<long>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -119,11 +121,11 @@ def read(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 own = np.unique(every)
                 first = prefix(own, *hot.value)
                 fp = int(np.uint64(simhash.majority([every.tobytes()])).view(np.int64))
-                known[text] = (node_of(own), (fp, len(own), len(first), *sketch(own).tolist()), first)
-            columns: list[list] = [[] for _ in range(len(NODE) + 2)]
+                known[text] = (node_of(own), (fp, len(own), len(first), *sketch(own).tolist()), (sketch(own, WIDE).tobytes(), first))
+            columns: list[list] = [[] for _ in range(len(NODE) + 3)]
             for text in batch.column(1).to_pylist():
-                node, values, first = known[text]
-                for column, v in zip(columns, (node, *values, None if node in seen else first), strict=True):
+                node, values, long = known[text]
+                for column, v in zip(columns, (node, *values, *((None, None) if node in seen else long)), strict=True):
                     column.append(v)
                 seen.add(node)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:], strict=True))], schema=pa.schema([batch.schema.field(0), *list(out)[1:]]))
@@ -168,6 +170,7 @@ class Links:
 
     def __init__(self, df: DataFrame, made: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int):
         self.df, self.made, self.id_col, self.text_col, self.width = df, made, id_col, text_col, width
+        self.wide = made.where("wide is not null").select("node", "size", "wide")
         self.sketches = {end: nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("size", *SKETCH))) for end in "ab"}
         self.groups: DataFrame | None = None  # (node, group) of merged nodes
         self.tried: DataFrame | None = None  # (a, b), in both orders, of what was compared
@@ -178,6 +181,7 @@ class Links:
         if self.tried is not None:
             found = found.join(self.tried, ["a", "b"], "left_anti")
         found = C.saved(found.join(self.sketches["a"], "a").join(self.sketches["b"], "b").where(may_be_alike()).select("a", "b"))
+        found = self.narrowed(found)
         back = found.select(F.col("b").alias("a"), F.col("a").alias("b"))
         self.tried = found.unionByName(back) if self.tried is None else self.tried.unionByName(found).unionByName(back)
         degrees = C.saved(found.unionByName(back).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")))
@@ -205,6 +209,22 @@ class Links:
             self._merge(links)
         return n
 
+    def narrowed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that pass the bound of the long sketches, too."""
+        asked = C.saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        known = C.saved(self.wide.join(C.small(asked), "node").groupBy("node").agg(F.first("size").alias("size"), F.first("wide").alias("wide")))
+        both = pairs
+        for end in "ab":
+            both = both.join(known.select(F.col("node").alias(end), F.col("size").alias(f"n_{end}"), F.col("wide").alias(f"w_{end}")), end)
+
+        def passed(a, b, na, nb, wa, wb):
+            bits = lambda w: np.frombuffer(b"".join(w), np.uint64).reshape(len(w), -1)
+            differ = np.bitwise_count(bits(wa) ^ bits(wb)).sum(1) if a else np.empty(0)
+            near = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (np.array(na, np.int64) + np.array(nb, np.int64))
+            return [a, b, near]
+
+        return C.saved(C.per_batch(both, ["a", "b", "n_a", "n_b", "w_a", "w_b"], "a long, b long, near boolean", passed).where("near").select("a", "b"))
+
     def _merge(self, links: DataFrame) -> None:
         if self.groups is None:
             self.groups = C.saved(C.connected_components(links).withColumnRenamed("component", "group"))
@@ -249,7 +269,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", width: i
     """
     made = C.saved(read(df, id_col, text_col, width))
     nodes = C.saved(made.groupBy("node").agg(*(F.first(c).alias(c) for c in NODE)))
-    links = Links(df, made.select(id_col, "node"), nodes, id_col, text_col, width)
+    links = Links(df, made.select(id_col, "node", "size", "wide"), nodes, id_col, text_col, width)
     links.compare(by_fingerprint(nodes.where("size > 0").select("node", "fp")))
     shared = C.saved(common(made.where("tokens is not null").select(F.explode("tokens").alias("token"), "node")))
     # shingles of a node's prefix that it has to itself: the base of a group of copies has the fewest
