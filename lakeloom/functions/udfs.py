@@ -36,7 +36,7 @@ def grouped(spark, sf_dir):
 
 @query("p36_table_function", "SELECT s_suppkey, CAST(i AS INT) AS digit_at, substr(lpad(CAST(s_suppkey AS VARCHAR), 5, '0'), CAST(i AS INT), 1) AS digit FROM supplier, range(1, 6) r(i)")
 def table_function(spark, sf_dir):
-    @F.udtf(returnType="s_suppkey long, digit_at int, digit string")
+    @F.udtf(returnType="s_suppkey long, digit_at int, digit string", useArrow=True)
     class Digits:
         def eval(self, key: int):
             for i, c in enumerate(f"{key:05d}", 1):

@@ -25,9 +25,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over all that is there, and reads what it wrote (exactly once, by the sink's log)."""
-    spark, target = stream.sparkSession, shared_folder(stream.sparkSession)
+def drained(stream: DataFrame, mode: str = "append", target: str | None = None) -> DataFrame:
+    """Runs the stream over all that is there, and reads what it wrote (exactly once, by the sink's log). With the same target it goes on where it ended."""
+    spark, target = stream.sparkSession, target or shared_folder(stream.sparkSession)
     done = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/out")
@@ -40,6 +40,41 @@ def tumbling(spark, sf_dir):
     return drained(w).select("event_type", plain("window.start").alias("window_start"), "n")
 
 
+HALF_DAYS = "time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01')"
+
+
+@query(
+    "p32_stream_sliding",
+    f"""SELECT event_type, window_start, count(*) AS n FROM (SELECT event_type, unnest([{HALF_DAYS}, {HALF_DAYS} - INTERVAL 12 HOUR]) AS window_start FROM events), {CLOSED}
+        WHERE window_start + INTERVAL 1 DAY <= mark GROUP BY event_type, window_start""",
+)
+def sliding(spark, sf_dir):
+    """Counts of days that begin every twelve hours, of those that are over."""
+    w = events(spark, sf_dir).withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day", "12 hours"), "event_type").agg(F.count("*").alias("n"))
+    return drained(w).select("event_type", plain("window.start").alias("window_start"), "n")
+
+
+@query(
+    "p35_late_rows",
+    """WITH bounds AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+            rows AS (SELECT ts, epoch_us(ts) <= lo + (hi - lo) * 3 // 4 AND event_id % 10 <> 3 AS early FROM events, bounds),
+            first_mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS m1 FROM rows WHERE early), last_mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS m2 FROM rows),
+            days AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, early FROM rows)
+       SELECT window_start, count(*) AS n FROM days, first_mark, last_mark WHERE (early OR window_start + INTERVAL 1 DAY > m1) AND window_start + INTERVAL 1 DAY <= m2 GROUP BY window_start""",
+)
+def late_rows(spark, sf_dir):
+    """Three quarters of the time come first, without every tenth event; those come with the rest, when the watermark has passed the days of most: they are dropped, the others count."""
+    source, target = shared_folder(spark), shared_folder(spark)
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    lo, hi = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    early = (F.unix_micros("ts") <= lo + (hi - lo) * 3 // 4) & (F.col("event_id") % 10 != 3)
+    for part in (early, ~early):
+        rows.where(part).write.mode("append").parquet(source)
+        days = spark.readStream.schema(rows.schema).parquet(source).withWatermark("ts", DELAY).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+        out = drained(days, target=target)
+    return out.select(plain("window.start").alias("window_start"), "n")
+
+
 @query(
     "p32_stream_session",
     f"""WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
