@@ -5,16 +5,15 @@ fingerprints find most links here, and an exact search finds the rest:
 
 1. Every text becomes the set of its shingles' XXH64 hashes; equal sets are one node. A node has its
    SimHash, a sketch of BITS bits (each the parity of the shingles that fall on it), and a prefix.
-2. Nodes within RADIUS bits of SimHash are found by operator 7's BK-trees, compared as whole sets, and
-   those that are alike are merged.
+2. Nodes within RADIUS bits of SimHash are found by operator 7's BK-trees.
 3. Two sets with Jaccard 0.8 or more share a shingle of both prefixes, whatever the order of all
    shingles is: of n shingles the n - ceil(0.8 n) + 1 first ones. Shingles that come often in a sample
-   are put last in the order (HOT of them at most), which changes the work, not the result. Only
-   shingles whose nodes aren't merged yet matter from here on.
-4. Stars: at each shingle the nodes outside its largest group are compared with that group's hub, the node
-   with the fewest shingles of its own; a node's comparisons are one a round. So a large group of
-   near copies is merged without comparing all of its pairs.
-5. What is left: pairs of a shingle that are in different groups, not both in the largest one, and that pass
+   are put last in the order (HOT of them at most), which changes the work, not the result.
+4. Stars: each node also meets the hub with which it shares most of its prefix; a shingle's hub is the node
+   with the fewest shingles of its own, in a group of copies the text that they come from. Both kinds
+   of pairs are compared as whole sets, and those that are alike are merged, so a large group of near
+   copies is merged without comparing all of its pairs.
+5. What is left: pairs of a shingle that are in different groups, not both in its largest one, and that pass
    two bounds (sizes; sketches, as two sets differ in at least as many shingles as their sketches in bits)
    are compared as whole sets. No pair is lost.
 
@@ -38,8 +37,8 @@ from lakeloom.llm import simhash
 SHINGLE_WORDS, NUMERATOR, DENOMINATOR, RADIUS = 5, 4, 5, 3
 #: One of so many texts is sampled; shingles of so many sampled sets are frequent; frequent ones that are kept, at most.
 SAMPLED, FREQUENT, HOT = 16, 4, 200_000
-#: Bits of a sketch; rounds of stars before all that is left is compared.
-BITS, WIDE, STARS = 512, 4096, 2
+#: Bits of a sketch, and of the long one.
+BITS, WIDE = 512, 4096
 #: Pairs whose whole texts are in a worker's hands at once.
 PAIRS = 64
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
@@ -270,22 +269,14 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", width: i
     made = C.saved(read(df, id_col, text_col, width))
     nodes = C.saved(made.groupBy("node").agg(*(F.first(c).alias(c) for c in NODE)))
     links = Links(df, made.select(id_col, "node", "size", "wide"), nodes, id_col, text_col, width)
-    links.compare(by_fingerprint(nodes.where("size > 0").select("node", "fp")))
     shared = C.saved(common(made.where("tokens is not null").select(F.explode("tokens").alias("token"), "node")))
     # shingles of a node's prefix that it has to itself: the base of a group of copies has the fewest
     own = shared.groupBy("node").agg(F.count("*").alias("n"))
     known = C.saved(nodes.select("node", "n_prefix").join(own, "node").select("node", (F.col("n_prefix") - F.col("n")).alias("alone")))
-    rows = shared
-    for _ in range(STARS):
-        rows, best = mixed(links, known, rows.select("token", "node"))
-        met = rows.join(best, "token").where(F.col("group") != F.col("hub_group")).groupBy("node", "hub").agg(F.count("*").alias("n"))
-        met = met.join(links.tried.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"], "left_anti")
-        once = met.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top")).select(F.col("node").alias("a"), F.col("top.hub").alias("b"))
-        if not links.compare(once):
-            break
-    rows, best = mixed(links, known, rows.select("token", "node"))
-    of = {end: rows.join(links.sketches[end].withColumnRenamed(end, "node"), "node").withColumnsRenamed({"node": end, "group": f"group_{end}"}).drop("alone") for end in "ab"}
-    outside = of["a"].join(best.select("token", "hub_group"), "token").where(F.col("group_a") != F.col("hub_group"))
+    links.compare(by_fingerprint(nodes.where("size > 0").select("node", "fp")).unionByName(stars(shared.join(C.small(known), "node"))))
+    rows, best = mixed(links, known, shared)
+    of = {end: rows.join(links.sketches[end].withColumnRenamed(end, "node"), "node").withColumnsRenamed({"node": end, "group": f"group_{end}"}) for end in "ab"}
+    outside = of["a"].join(best, "token").where(F.col("group_a") != F.col("hub_group"))
     once = (F.col("group_b") == F.col("hub_group")) | (F.col("group_a") < F.col("group_b"))
     pairs = outside.join(of["b"], (outside.token == of["b"].token) & (F.col("group_a") != F.col("group_b")) & once & may_be_alike())
     links.compare(pairs.select("a", "b"))
@@ -294,11 +285,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", width: i
     return every.join(low, "group").select(id_col, "component_id")
 
 
+def stars(rows: DataFrame) -> DataFrame:
+    """(a, b): each node of rows (token, node, alone) and the hub that it meets at most of its tokens."""
+    hubs = rows.groupBy("token").agg(F.min(F.struct("alone", "node")).alias("hub")).select("token", F.col("hub.node").alias("hub"))
+    met = rows.join(hubs, "token").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    return met.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top")).select(F.col("node").alias("a"), F.col("top.hub").alias("b"))
+
+
 def mixed(links: Links, known: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the tokens whose nodes are in different groups: (token, node, alone, group), and (token, hub, hub_group) of its largest group."""
-    rows = rows.join(C.small(C.saved(links.grouped(known))), "node")
+    """Of the tokens whose nodes are in different groups: (token, node, group), and (token, hub_group), its largest group."""
+    rows = rows.join(C.small(C.saved(links.grouped(known.select("node")))), "node")
     several = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
     rows = C.saved(rows.join(several, "token", "left_semi"))
-    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("n"), F.min(F.struct("alone", "node")).alias("hub"))
-    top = sizes.groupBy("token").agg(F.max(F.struct("n", "group", "hub")).alias("top"))
-    return rows, C.saved(top.select("token", F.col("top.hub.node").alias("hub"), F.col("top.group").alias("hub_group")))
+    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("n"))
+    return rows, C.saved(sizes.groupBy("token").agg(F.max(F.struct("n", "group")).alias("top")).select("token", F.col("top.group").alias("hub_group")))
