@@ -17,7 +17,8 @@ their words may be broadcast.
 
 Most texts are told to be out of reach before their words become rows: a cosine is at most the root of
 the template's squared weights of the words that it shares. essential() leaves out of each template the
-most ordinary words, as long as these alone can't reach the score; what has none of the others can't either.
+most ordinary words, as long as these alone can't reach the score; what has none of the others can't either. in_reach() then bounds the cosine of a line by the share of its
+known words in its norm.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ class Templates:
 def any_of(words: set[str]) -> str:
     """A pattern for texts in lower case that hold one of the words, by first letters."""
     by: dict[str, list[str]] = {}
-    for w in sorted(words):
+    for w in sorted(words, key=lambda w: (-len(w), w)):
         by.setdefault(w[0], []).append(re.escape(w[1:]).replace("\\-", "-"))
     return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + ")(?![a-z0-9])" if by else "(?!)"
 
@@ -120,6 +121,19 @@ def cosines(words: DataFrame, model: Templates) -> DataFrame:
     return scored.groupBy("key").agg(best.alias("best")).select("key", "best.license", (-F.col("best.less")).alias("score"))
 
 
+def in_reach(text: Column, model: Templates, least: float) -> Column:
+    """Whether a text's cosine to some template may be `least`: the part of its norm that known words make up bounds it.
+
+    Known words are matched inside others, too, so their part is never taken too small, nor the rest too large.
+    """
+    idf = F.create_map(*(F.lit(x) for pair in sorted(model.idf.items()) for x in pair))
+    hits = F.regexp_extract_all(text, F.lit(any_of(set(model.idf))), F.lit(0))
+    known = F.array_distinct(hits)
+    weight = F.aggregate(known, F.lit(0.0), lambda a, w: a + F.pow(F.size(F.filter(hits, lambda h: h == w)) * F.element_at(idf, w), F.lit(2.0)))
+    rest = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))) - F.size(known)
+    return weight >= (least - 1e-5) ** 2 * (weight + model.unknown**2 * F.greatest(F.lit(0), rest))
+
+
 def counted(texts: DataFrame, key: Column, text: Column) -> DataFrame:
     """(key, word, n): counted in the tasks first, so the texts aren't moved."""
     return texts.select(key.alias("key"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
@@ -144,8 +158,8 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", template
 
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license"))).alias("best")
     files = C.saved(cosines(counted(some.where(F.lower("text").rlike(may_be["file"])), F.col("key"), F.col("text")), body).where(F.col("score") >= FILE_SCORE))
-    lines = some.select("key", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where(F.lower("line").rlike(may_be["line"])).distinct()
-    lines = C.saved(lines.withColumn("line_key", F.md5("line")))
+    lines = some.select("key", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where(F.lower("line").rlike(may_be["line"])).where(in_reach(F.lower("line"), header, NOTICE_SCORE))
+    lines = C.saved(lines.distinct().withColumn("line_key", F.md5("line")))
     scored = cosines(counted(lines.select("line_key", "line").distinct(), F.col("line_key"), F.col("line")), header).where(F.col("score") >= NOTICE_SCORE)
     notices = lines.select("key", "line_key").join(scored.withColumnRenamed("key", "line_key"), "line_key").groupBy("key").agg(best.alias("notice"))
     notices = notices.join(files.select("key", F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")).alias("file")), "key", "full")

@@ -113,6 +113,20 @@ def test_what_is_left_out_is_out_of_reach():
             assert not norm or sum(s * v[w] for w, s in some.items()) / norm < least
 
 
+def test_no_line_in_reach_is_left_out(spark):
+    """Lines of template words and others: each that scores is in reach."""
+    import random
+
+    rng, model = random.Random(7), A.Templates(A.TEMPLATES)
+    vocabulary = sorted(model.idf)
+    lines = [" ".join(rng.choice(vocabulary) if rng.random() < share else f"other{rng.randrange(50)}" for _ in range(rng.randint(1, 14))) for share in (0.5, 0.8, 1.0) for _ in range(300)]
+    lines += [" ".join(w for w in t.lower().split() if rng.random() < 0.8) + " x-license" * rng.randint(0, 1) for group in A.TEMPLATES.values() for t in group for _ in range(5)]
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    reach = {r.t for r in df.where(A.in_reach(F.col("t"), model, A.NOTICE_SCORE)).collect()}
+    scored = [t for t in lines if slow_best(t, A.NOTICE_SCORE)]
+    assert len(scored) > 100 and set(scored) <= reach
+
+
 def test_null_source_or_language_is_a_null_path(spark):
     df = spark.createDataFrame([("s", "en", 1), (None, "en", 1), ("s", None, 1), ("s", "en", None)], "source string, lang string, doc_id long")
     paths = [r[0] for r in df.select(A.document_path(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"))).collect()]
