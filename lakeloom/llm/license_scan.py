@@ -15,10 +15,8 @@ as the rarest ones and only lengthen a line's norm. Among whole licences a word
 weighs nothing, so that prose isn't like them by its common words. Templates are a fixed, small list, so
 their words may be broadcast.
 
-Most texts are told to be out of reach before their words become rows: a cosine is at most the root of
-the template's squared weights of the words that it shares. essential() leaves out of each template the
-most ordinary words, as long as these alone can't reach the score; what has none of the others can't either. in_reach() then bounds the cosine of a line by the share of its
-known words in its norm.
+Most lines and texts are told to be out of reach in their own row, before their words become rows: see
+in_reach(). What is in reach is scored in full.
 """
 
 from __future__ import annotations
@@ -27,8 +25,10 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from pathlib import Path
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +54,10 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved", "Proprietary and confidential"],
 }
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Words that any prose has, the most frequent first: essential() leaves them out in this order (fixed values).
-ORDINARY = {w: i for i, w in enumerate("the of and to a in that for with this is are by be as on at it an or v 1 2 3 4 not from any you use may work under free general other into person public version file files form forms later either without purpose following provided".split())}
 #: Cosine from which a line is a notice, and a whole text a licence file.
 NOTICE_SCORE, FILE_SCORE = 0.6, 0.7
+#: Slots of the table by which in_reach() looks words up (a power of two); words that share a slot only widen its bound.
+SLOTS = 16384
 
 
 def bodies() -> dict[str, list[str]]:
@@ -80,20 +80,6 @@ class Templates:
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
             self.rows += [(number, name, w, n * self.idf[w] / norm, self.idf[w]) for w, n in sorted(c.items())]
 
-
-    def essential(self, score: float) -> set[str]:
-        """Words of which a text with this cosine to some template has one at least."""
-        out, vectors = set(), {}
-        for number, _, word, share, _ in self.rows:
-            vectors.setdefault(number, []).append((ORDINARY.get(word, len(ORDINARY)), len(word), word, share))
-        for words in vectors.values():
-            light = 0.0
-            for _, _, word, share in sorted(words):
-                light += share**2
-                if light >= (score - 1e-5) ** 2:
-                    out.add(word)
-        return out
-
     def table(self, spark: SparkSession) -> DataFrame:
         """(template, license, word, share, idf) from one literal."""
         rows = [dict(zip(("template", "license", "word", "share", "idf"), r, strict=True)) for r in self.rows]
@@ -101,14 +87,6 @@ class Templates:
         return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
-def any_of(words: set[str]) -> str:
-    """A pattern for texts in lower case that hold one of the words, by first letters."""
-    by: dict[str, list[str]] = {}
-    for w in sorted(words, key=lambda w: (-len(w), w)):
-        by.setdefault(w[0], []).append(re.escape(w[1:]).replace("\\-", "-"))
-    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + ")(?![a-z0-9])" if by else "(?!)"
-
-
 def cosines(words: DataFrame, model: Templates) -> DataFrame:
     """(key, license, score): the best template of each key of words (key, word, n); ties go to the smaller identifier. If all n of a key are multiplied nothing changes."""
     table = F.broadcast(model.table(words.sparkSession))  # fixed size
@@ -121,17 +99,51 @@ def cosines(words: DataFrame, model: Templates) -> DataFrame:
     return scored.groupBy("key").agg(best.alias("best")).select("key", "best.license", (-F.col("best.less")).alias("score"))
 
 
+def literal(values: list, kind: str) -> Column:
+    """An array as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def with_value(value: Column, test: Callable[[Column], Column]) -> Column:
+    """test(value), for which value is computed once however often the test names it."""
+    return F.exists(F.array(value), test)
+
+
 def in_reach(text: Column, model: Templates, least: float) -> Column:
-    """Whether a text's cosine to some template may be `least`: the part of its norm that known words make up bounds it.
+    """Whether a text's cosine to some template may be `least`; false of null.
 
-    Known words are matched inside others, too, so their part is never taken too small, nor the rest too large.
+    The dot product with a template is a sum over the text's words as they come, repeats included, and so
+    is s, the sum of their weights; the norm is s / sqrt(distinct words) at least. So sums over the words
+    bound the cosine without counting each word: first with every word's largest share in any template,
+    then, where that isn't enough, with each template's own. Words are looked up by hash. Words in one
+    slot take the largest of their products and the smallest of their weights, so that the bound holds.
     """
-    idf = F.create_map(*(F.lit(x) for pair in sorted(model.idf.items()) for x in pair))
-    hits = F.regexp_extract_all(text, F.lit(any_of(set(model.idf))), F.lit(0))
-    known = F.array_distinct(hits)
-    weight = F.aggregate(known, F.lit(0.0), lambda a, w: a + F.pow(F.size(F.filter(hits, lambda h: h == w)) * F.element_at(idf, w), F.lit(2.0)))
-    rest = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))) - F.size(known)
-    return weight >= (least - 1e-5) ** 2 * (weight + model.unknown**2 * F.greatest(F.lit(0), rest))
+    width, slots = 1 + max((r[0] for r in model.rows), default=0), {}
+    for number, _, word, share, idf in model.rows:
+        slot = slots.setdefault(xxhash.xxh64_intdigest(word, 42) % SLOTS, {"weight": idf, "products": [0.0] * width})
+        slot["weight"] = min(slot["weight"], idf)
+        slot["products"][number] = max(slot["products"][number], share * idf)
+    entry = dict(zip(slots, range(1, 1 + len(slots)), strict=True))  # 0: words that no template has
+    entries = literal([entry.get(n, 0) for n in range(SLOTS)], "int")
+    weights = literal([model.unknown, *(x["weight"] for x in slots.values())], "double")
+    largest = literal([0.0, *(max(x["products"]) for x in slots.values())], "double")
+    products = literal([[0.0] * width, *(x["products"] for x in slots.values())], "array<double>")
+
+    def summed(found: Column, values: Column) -> Column:
+        return F.aggregate(found, F.lit(0.0), lambda a, e: a + F.get(values, e))
+
+    def by_template(found: Column) -> Column:
+        zero = F.array_repeat(F.lit(0.0), width)
+        return F.array_max(F.aggregate(F.filter(found, lambda e: e > 0), zero, lambda a, e: F.zip_with(a, F.get(products, e), lambda x, y: x + y)))
+
+    def test(words: Column) -> Column:
+        def enough(found: Column) -> Column:
+            needed = F.lit(least - 1e-5) * summed(found, weights) / F.sqrt(F.size(F.array_distinct(words)))
+            return (F.size(found) > 0) & with_value(needed, lambda dot: (summed(found, largest) >= dot) & (by_template(found) >= dot))
+
+        return with_value(F.transform(words, lambda w: F.get(entries, F.xxhash64(w).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))), enough)
+
+    return F.coalesce(with_value(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), test), F.lit(False))
 
 
 def counted(texts: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -150,22 +162,27 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", template
     kept = [c for c in df.columns if c not in ("license", "license_score", "license_from")]
     text, path = F.col(text_col), F.col(path_col)
     header, body = Templates(templates), Templates(bodies() if whole is None else whole, 0)
-    may_be = {"line": any_of(header.essential(NOTICE_SCORE)), "file": any_of(body.essential(FILE_SCORE))}
-    lowered = F.lower(text)
     at = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
-    candidate = F.coalesce(lowered.rlike(may_be["line"]) | lowered.rlike(may_be["file"]), F.lit(False))
-    some = C.saved(df.where(candidate).select(F.md5(text).alias("key"), at.alias("dir"), text.alias("text")))
-
     best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license"))).alias("best")
-    files = C.saved(cosines(counted(some.where(F.lower("text").rlike(may_be["file"])), F.col("key"), F.col("text")), body).where(F.col("score") >= FILE_SCORE))
-    lines = some.select("key", F.explode(F.array_distinct(F.split("text", r"\R"))).alias("line")).where(F.lower("line").rlike(may_be["line"])).where(in_reach(F.lower("line"), header, NOTICE_SCORE))
-    lines = C.saved(lines.distinct().withColumn("line_key", F.md5("line")))
-    scored = cosines(counted(lines.select("line_key", "line").distinct(), F.col("line_key"), F.col("line")), header).where(F.col("score") >= NOTICE_SCORE)
-    notices = lines.select("key", "line_key").join(scored.withColumnRenamed("key", "line_key"), "line_key").groupBy("key").agg(best.alias("notice"))
+
+    # what is in reach of a score, lines and whole texts: found in the row itself, so that texts aren't moved
+    lines = F.filter(F.array_distinct(F.split(text, r"\R")), lambda line: in_reach(line, header, NOTICE_SCORE))
+    units = F.concat(
+        F.transform(lines, lambda line: F.struct(F.lit("line").alias("kind"), line.alias("unit"))),
+        F.when(in_reach(text, body, FILE_SCORE), F.array(F.struct(F.lit("file").alias("kind"), text.alias("unit")))).otherwise(F.array()),
+    )
+    some = C.saved(df.where(text.isNotNull()).select(F.md5(text).alias("key"), at.alias("dir"), F.explode_outer(units).alias("u")).where("u is not null").select("key", "dir", "u.kind", F.md5("u.unit").alias("unit_key"), "u.unit"))
+
+    def scored(kind: str, model: Templates, least: float) -> DataFrame:
+        once = some.where(F.col("kind") == kind).groupBy("unit_key").agg(F.first("unit").alias("unit"))
+        return C.saved(cosines(counted(once, F.col("unit_key"), F.col("unit")), model).where(F.col("score") >= least))
+
+    files = scored("file", body, FILE_SCORE)
+    lines = some.where("kind = 'line'").select("key", "unit_key").distinct().join(scored("line", header, NOTICE_SCORE).withColumnRenamed("key", "unit_key"), "unit_key")
+    notices = lines.groupBy("key").agg(best.alias("notice"))
     notices = notices.join(files.select("key", F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")).alias("file")), "key", "full")
 
-    found = some.where("dir is not null").select("key", "dir").distinct().join(files, "key")
-    best = F.min(F.struct((-F.col("score")).alias("less"), F.col("license").alias("license")))
+    found = some.where("kind = 'file' and dir is not null").select("key", "dir").distinct().join(files, "key")
     declared = found.groupBy("dir").agg(best.alias("declared"))
     dirs = df.select(at.alias("dir")).where("dir is not null").distinct()
     parts = F.split("dir", "/")
@@ -176,10 +193,8 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", template
     key, own_dir, notice, file, near = (C.fresh(df, f"license_{n}") for n in ("key", "dir", "notice", "file", "near"))
     notices = C.saved(notices.select(F.col("key").alias(key), F.col("notice").alias(notice), F.col("file").alias(file)))
     nearest = C.saved(nearest.select(F.col("dir").alias(own_dir), F.col("near").alias(near)))
-    with_own = df.where(candidate).select(*kept, at.alias(own_dir), F.md5(text).alias(key)).join(notices, key, "left").drop(key)
-    nothing = F.lit(None).cast("struct<less: double, license: string>")
-    without = df.where(~candidate).select(*kept, at.alias(own_dir), nothing.alias(notice), nothing.alias(file))
-    joined = with_own.unionByName(without).join(nearest, own_dir, "left")
+    with_own = df.select(*kept, at.alias(own_dir), F.md5(text).alias(key)).join(C.small(notices), key, "left").drop(key)
+    joined = with_own.join(nearest, own_dir, "left")
     best = F.coalesce(file, notice, f"{near}.declared")
     came = F.when(F.col(file).isNotNull(), F.lit("file")).when(F.col(notice).isNotNull(), F.lit("notice")).when(F.col(near).isNotNull(), F.concat(F.lit("/"), F.col(f"{near}.up")))
     return joined.select(*kept, best["license"].alias("license"), (-best["less"]).alias("license_score"), came.alias("license_from"))

@@ -8,9 +8,8 @@ from lakeloom.llm import license_scan as A
 from tests.llm import cases
 
 
-def slow_best(text, threshold):
+def slow_best(text, threshold, model=A.Templates(A.TEMPLATES)):
     """Best template of a text by dense vectors."""
-    model = A.Templates(A.TEMPLATES)
     c = Counter(re.findall(A.WORD, text.lower()))
     v = {w: n * model.idf.get(w, model.unknown) for w, n in c.items()}
     norm = math.sqrt(sum(x * x for x in v.values())) or 1
@@ -96,21 +95,22 @@ def test_lines_without_the_word_licence(spark):
     assert got == lines
 
 
-def test_what_is_left_out_is_out_of_reach():
-    """A text made of a template's words that aren't essential never reaches the score, whatever their counts."""
+def test_no_text_in_reach_is_left_out(spark):
+    """Whole licences with words dropped, repeated and added: each that scores is in reach, and prose isn't."""
     import random
 
-    rng = random.Random(1)
-    for model, least in ((A.Templates(A.TEMPLATES), A.NOTICE_SCORE), (A.Templates(A.bodies(), 0), A.FILE_SCORE)):
-        essential, vectors = model.essential(least), {}
-        for number, _, word, share, _ in model.rows:
-            vectors.setdefault(number, {})[word] = share
-        for v in vectors.values():
-            rest = {w: s for w, s in v.items() if w not in essential}
-            assert sum(s * s for s in rest.values()) < least**2
-            some = {w: s * rng.random() for w, s in rest.items()}
-            norm = math.sqrt(sum(s * s for s in some.values()))
-            assert not norm or sum(s * v[w] for w, s in some.items()) / norm < least
+    rng, model = random.Random(1), A.Templates(A.bodies(), 0)
+    texts = []
+    for body in A.bodies().values():
+        words = body[0].split()
+        for kept in (0.3, 0.6, 0.9):
+            for added in (0, len(words) // 4, len(words)):
+                texts.append(" ".join([w for w in words if rng.random() < kept] + [f"other{rng.randrange(50)}" for _ in range(added)] + [rng.choice(words)] * rng.randrange(30)))
+    prose = ["the work of this and that is in the hands of all who use it " * n for n in (1, 30, 3000)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts + prose], "t string")
+    reach = {r.t for r in df.where(A.in_reach(F.col("t"), model, A.FILE_SCORE)).collect()}
+    scored = [t for t in texts if slow_best(t, A.FILE_SCORE, model)]
+    assert 30 < len(scored) < len(texts) and set(scored) <= reach and not reach & {"", None}
 
 
 def test_no_line_in_reach_is_left_out(spark):
