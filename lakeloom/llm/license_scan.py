@@ -56,7 +56,7 @@ TEMPLATES = {
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Cosine from which a line is a notice, and a whole text a licence file.
 NOTICE_SCORE, FILE_SCORE = 0.6, 0.7
-#: Slots of the table by which in_reach() looks words up (a power of two); words that share a slot only widen its bound.
+#: Slots of the table by which in_reach() looks words up (a power of two); template words that share a slot only widen its bound.
 SLOTS = 16384
 
 
@@ -115,16 +115,19 @@ def in_reach(text: Column, model: Templates, least: float) -> Column:
     The dot product with a template is a sum over the text's words as they come, repeats included, and so
     is s, the sum of their weights; the norm is s / sqrt(distinct words) at least. So sums over the words
     bound the cosine without counting each word: first with every word's largest share in any template,
-    then, where that isn't enough, with each template's own. Words are looked up by hash. Words in one
-    slot take the largest of their products and the smallest of their weights, so that the bound holds.
+    then, where that isn't enough, with each template's own; only what is left has its words sorted for
+    the norm itself. Words are looked up by hash. Template words in one slot take the largest of their
+    products and the smallest of their weights, so that the bound holds.
     """
     width, slots = 1 + max((r[0] for r in model.rows), default=0), {}
     for number, _, word, share, idf in model.rows:
-        slot = slots.setdefault(xxhash.xxh64_intdigest(word, 42) % SLOTS, {"weight": idf, "products": [0.0] * width})
+        slot = slots.setdefault(xxhash.xxh64_intdigest(word, 42) % SLOTS, {"words": [], "weight": idf, "products": [0.0] * width})
+        slot["words"] += [word] * (word not in slot["words"])
         slot["weight"] = min(slot["weight"], idf)
         slot["products"][number] = max(slot["products"][number], share * idf)
     entry = dict(zip(slots, range(1, 1 + len(slots)), strict=True))  # 0: words that no template has
     entries = literal([entry.get(n, 0) for n in range(SLOTS)], "int")
+    members = literal([[], *(x["words"] for x in slots.values())], "array<string>")
     weights = literal([model.unknown, *(x["weight"] for x in slots.values())], "double")
     largest = literal([0.0, *(max(x["products"]) for x in slots.values())], "double")
     products = literal([[0.0] * width, *(x["products"] for x in slots.values())], "array<double>")
@@ -136,12 +139,29 @@ def in_reach(text: Column, model: Templates, least: float) -> Column:
         zero = F.array_repeat(F.lit(0.0), width)
         return F.array_max(F.aggregate(F.filter(found, lambda e: e > 0), zero, lambda a, e: F.zip_with(a, F.get(products, e), lambda x, y: x + y)))
 
+    def look_up(word: Column) -> Column:
+        slot = F.get(entries, F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
+        return F.when(F.array_contains(F.get(members, slot), word), slot).otherwise(F.lit(0))
+
+    def norm(words: Column) -> Column:
+        """n² is 1 + 3 + 5 + ...: in sorted words each adds its place among its like."""
+        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("place"), F.lit(0.0).alias("total"))
+
+        def add(a: Column, word: Column) -> Column:
+            place = F.when(word == a["word"], a["place"] + 1).otherwise(F.lit(1))
+            square = F.pow(F.get(weights, look_up(word)), F.lit(2.0))
+            return F.struct(word.alias("word"), place.alias("place"), (a["total"] + square * (2.0 * place - 1)).alias("total"))
+
+        return F.aggregate(F.sort_array(words), start, add, lambda a: F.sqrt(a["total"]))
+
     def test(words: Column) -> Column:
         def enough(found: Column) -> Column:
-            needed = F.lit(least - 1e-5) * summed(found, weights) / F.sqrt(F.size(F.array_distinct(words)))
-            return (F.size(found) > 0) & with_value(needed, lambda dot: (summed(found, largest) >= dot) & (by_template(found) >= dot))
+            low = F.lit(least - 1e-5) * summed(found, weights) / F.sqrt(F.size(F.array_distinct(words)))
+            exact = F.lit(least - 1e-5) * norm(words)
+            reaches = lambda dot: with_value(by_template(found), lambda own: (own >= dot) & (own >= exact))
+            return (F.size(found) > 0) & with_value(low, lambda dot: (summed(found, largest) >= dot) & reaches(dot))
 
-        return with_value(F.transform(words, lambda w: F.get(entries, F.xxhash64(w).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))), enough)
+        return with_value(F.transform(words, look_up), enough)
 
     return F.coalesce(with_value(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), test), F.lit(False))
 
