@@ -40,8 +40,10 @@ SPLIT = regex.compile(split_pattern(r"\p{L}", r"\p{N}", SPACE))
 #: The same up to U+024F, where the classes are short ranges and the standard module is twice as fast.
 SPLIT_LATIN = re.compile(split_pattern("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"))
 NOT_LATIN = re.compile("[^\x00-\u024f]")
-#: Words whose encodings a worker remembers; when full it starts anew.
-MEMO_WORDS = 250_000
+#: Bytes of each of the two generations of encoded words that a worker remembers.
+MEMO_BYTES = 64 << 20
+#: Longer words (in characters) are encoded anew each time.
+MEMO_WORD = 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -139,33 +141,55 @@ def automaton(path: str) -> Automaton:
         return Automaton(json.load(f))
 
 
-@lru_cache(maxsize=2)
-def _memo(path: str) -> list[dict[str, tuple[int, ...]]]:
-    """Two generations of encoded words: the older one goes when the younger one is full."""
-    return [{}, {}]
+class Memo:
+    """What was worked out for keys, in two generations bounded by bytes: the older one goes when the younger one is full."""
+
+    def __init__(self):
+        self.young, self.old, self.bytes = {}, {}, 0
+
+    def keep(self, key, value, cost: int) -> None:
+        """cost is what key and value take, in bytes."""
+        self.young[key] = value
+        self.bytes += cost
+        if self.bytes > MEMO_BYTES:
+            self.young, self.old, self.bytes = {}, self.young, 0
 
 
-def encode(text: str, path: str) -> list[int]:
-    """Ids of a whole text; a special token's string in it becomes that token."""
-    fsm, memos = automaton(path), _memo(path)
-    present = [s for s in fsm.specials if s in text]
+@lru_cache(maxsize=2)
+def _memo(path: str) -> Memo:
+    return Memo()
+
+
+def encode_words(words: list[str], path: str) -> list[int]:
+    """Ids of words as the split pattern gives them, one after the other."""
+    memo = _memo(path)
+    try:
+        return list(chain.from_iterable(map(memo.young.__getitem__, words)))
+    except KeyError:
+        pass
+    fsm, here = automaton(path), {}
+    for w in words:
+        if w in here:
+            continue
+        if (ids := memo.young.get(w) or memo.old.get(w)) is None:
+            ids = fsm.encode_word(w.encode("utf-8", "surrogatepass"))
+        here[w] = ids
+        if len(w) <= MEMO_WORD and w not in memo.young:
+            memo.keep(w, ids, 250 + 4 * len(w) + 36 * len(ids))  # objects' heads, characters, ids
+    return list(chain.from_iterable(map(here.__getitem__, words)))
+
+
+def encode(text: str, path: str, specials: bool = True) -> list[int]:
+    """Ids of a whole text; a special token's string in it becomes that token, or with specials=False is text like any other."""
+    fsm = automaton(path)
+    present = [s for s in fsm.specials if s in text] if specials else []
     parts = regex.split("(" + "|".join(map(regex.escape, sorted(present, key=len, reverse=True))) + ")", text) if present else [text]
     out: list[int] = []
     for i, part in enumerate(parts):
         if i % 2:
             out.append(fsm.specials[part])
             continue
-        words = (SPLIT if NOT_LATIN.search(part) else SPLIT_LATIN).findall(part)
-        young, old = memos
-        try:
-            ids = list(chain.from_iterable(map(young.__getitem__, words)))
-        except KeyError:
-            for w in words:
-                if w not in young:
-                    young[w] = old.get(w) or fsm.encode_word(w.encode("utf-8", "surrogatepass"))
-            ids = list(chain.from_iterable(map(young.__getitem__, words)))
-            if len(young) > MEMO_WORDS:
-                memos[:] = {}, young
+        ids = encode_words((SPLIT if NOT_LATIN.search(part) else SPLIT_LATIN).findall(part), path)
         out = out + ids if out else ids
     return out
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import _common as C
-from lakeloom.llm.bpe_automaton import byte_symbols
+from lakeloom.llm.bpe_automaton import MEMO_WORD, Memo, byte_symbols
 
 #: So many documents train the dictionary, by so many bytes of their ids at most; the dictionary's bytes; zstandard's level.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1_000, 65_536, 65_536, 3
@@ -39,8 +39,6 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1_000, 65_536, 65_536, 3
 BUCKET_BYTES = 128 << 20
 #: A block ends at so many documents or bytes of frames.
 BLOCK_DOCS, BLOCK_BYTES = 1_024, 4 << 20
-#: Words of each of two generations whose ids a worker remembers.
-MEMO_WORDS = 300_000
 #: Texts with other characters, or with what may be a special token, go to the library whole: above U+024F
 #: letter case and composition have more rules, and 1C-1F are white space only to Python.
 OTHER, SPECIAL = re.compile("[\x1c-\x1fɐ-\U0010ffff]"), "<|"
@@ -58,18 +56,26 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model, self.symbols = self.library.model, {b: c for c, b in byte_symbols().items()}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> bytes:
         """The library's model encodes each new word, as the characters that stand for its bytes."""
-        young, old, tokenize, symbols = self.young, self.old, self.model.tokenize, self.symbols
+        memo = self.memo
+        try:
+            return b"".join(map(memo.young.__getitem__, words))
+        except KeyError:
+            pass
+        tokenize, symbols, here = self.model.tokenize, self.symbols, {}
         for w in words:
-            if w not in young:
-                young[w] = old.get(w) or array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))]).tobytes()
+            if w in here:
+                continue
+            here[w] = memo.young.get(w) or memo.old.get(w) or array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))]).tobytes()
+            if len(w) <= MEMO_WORD and w not in memo.young:
+                memo.keep(w, here[w], 250 + 4 * len(w) + len(here[w]))  # objects' heads, characters, ids
+        return b"".join(map(here.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -78,15 +84,7 @@ class WordEncoder:
         lowered = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower()
         if OTHER.search(lowered):  # some capitals' lower case lies above U+024F, or is two characters
             return self._ids(text).tobytes()
-        words = WORD.findall(lowered)
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            out = b"".join(map(self.young.__getitem__, words))
-            if len(self.young) > MEMO_WORDS:
-                self.young, self.old = {}, self.young
-            return out
+        return self._words(WORD.findall(lowered))
 
 
 @lru_cache(maxsize=2)

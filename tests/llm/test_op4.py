@@ -29,10 +29,24 @@ def test_equals_the_library_on_random_texts(library):
         assert A.automaton(PATH).decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_memory_of_words_may_be_small(library, monkeypatch):
-    monkeypatch.setattr(A, "MEMO_WORDS", 3)
+def test_memory_of_words_is_bounded_by_bytes(library, monkeypatch):
+    monkeypatch.setattr(A, "MEMO_BYTES", 1000)
     for _, t in cases.TEXTS:
         assert A.encode(t or "", PATH) == library.encode(t or "", add_special_tokens=False).ids
+    memo = A._memo(PATH)
+    assert len(memo.young) + len(memo.old) < 10
+    long = "".join(random.Random(1).choice("abcdefgh") for _ in range(5000))
+    assert A.encode(long, PATH) == library.encode(long, add_special_tokens=False).ids
+    assert long not in memo.young and long not in memo.old
+
+
+def test_special_tokens_as_text(library):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    for s in ("<|endoftext|>", " a<|endoftext|>b", "x <|endoftext|><|endoftext|>"):
+        assert A.encode(s, PATH, specials=False) == plain.encode(s, add_special_tokens=False).ids
 
 
 def test_documents(spark, library):
