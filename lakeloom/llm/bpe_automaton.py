@@ -41,7 +41,7 @@ SPLIT = regex.compile(split_pattern(r"\p{L}", r"\p{N}", SPACE))
 SPLIT_LATIN = re.compile(split_pattern("A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"))
 NOT_LATIN = re.compile("[^\x00-\u024f]")
 #: Bytes of each of the two generations of encoded words that a worker remembers.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 96 << 20
 #: Longer words (in characters) are encoded anew each time.
 MEMO_WORD = 64
 
@@ -175,7 +175,7 @@ def encode_words(words: list[str], path: str) -> list[int]:
             ids = fsm.encode_word(w.encode("utf-8", "surrogatepass"))
         here[w] = ids
         if len(w) <= MEMO_WORD and w not in memo.young:
-            memo.keep(w, ids, 250 + 4 * len(w) + 36 * len(ids))  # objects' heads, characters, ids
+            memo.keep(w, ids, 200 + 4 * len(w) + 8 * len(ids))  # objects' heads, characters, places of ids
     return list(chain.from_iterable(map(here.__getitem__, words)))
 
 

@@ -11,8 +11,10 @@ many documents hold a linked pair of ids is counted over all documents, and judg
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import json
+import re
 from functools import lru_cache
+from itertools import starmap
 
 import numpy as np
 import pyarrow as pa
@@ -25,92 +27,130 @@ from lakeloom.llm import bpe_automaton as A
 
 #: A pair of ids (a, b) is the long a << PAIR_BITS | b.
 PAIR_BITS = 32
+#: Marks side B's ids in the packed ids of a window.
+B_SIDE = 1 << 30
 #: Windows of more tokens than this are aligned anew each time.
-MEMO_TOKENS = 32
+MEMO_TOKENS = 64
+#: Texts with longer runs of the same kind of characters are encoded by operator 4's automaton, which takes time in proportion to a word's length.
+LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 #: Counts of so many id pairs at most, the most frequent ones, are broadcast (16 bytes each).
 FREQUENT = 250_000
+#: What stands after an id in the text of groups: one more of its group's side, side B, the next group, the next window.
+AFTER = ",|;\n"
 
 
-class Window:
-    """The alignment of one window: its groups' ends as numbers of tokens, its links, and the groups as text."""
-
-    __slots__ = ("a_ends", "b_ends", "n_links", "pairs", "said")
-
-    def __init__(self, a: tuple[int, ...], b: tuple[int, ...], a_len: list[int], b_len: list[int]):
-        self.a_ends, self.b_ends, said, pairs = [], [], [], Counter()
-        i = j = g = h = 0
-        a_end, b_end = a_len[a[0]], b_len[b[0]]
-        while True:
-            pairs[a[i] << PAIR_BITS | b[j]] += 1
-            low = min(a_end, b_end)
-            if a_end == b_end:
-                said.append(",".join(map(str, a[g : i + 1])) + "|" + ",".join(map(str, b[h : j + 1])))
-                self.a_ends.append(i + 1)
-                self.b_ends.append(j + 1)
-                g, h = i + 1, j + 1
-                if g == len(a):
-                    break
-            if a_end == low:
-                i += 1
-                a_end += a_len[a[i]]
-            if b_end == low:
-                j += 1
-                b_end += b_len[b[j]]
-        self.said, self.pairs, self.n_links = ";".join(said), tuple(pairs.items()), sum(pairs.values())
+class Vocabulary:
+    """Side A: a byte-level vocabulary, read from the file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            content = json.load(f)
+        symbols, special = A.byte_symbols(), {t["content"] for t in content["added_tokens"]}
+        ids = {bytes(symbols[c] for c in s): i for s, i in content["model"]["vocab"].items() if s not in special}
+        merged = [content["model"]["vocab"][u + v] for u, v in content["model"]["merges"]]
+        # the faster library merges by the lowest id, so ids must rise with the merges
+        fast = merged == sorted(merged) and len(merged) + 256 == len(ids)
+        self.path, self.fast = path, tiktoken.Encoding("side_a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={}) if fast else None
+        self.bytes = [b""] * (max(content["model"]["vocab"].values()) + 1)
+        for t, i in ids.items():
+            self.bytes[i] = t
+
+    def encode(self, text: str) -> list[int]:
+        if self.fast and not LONG_RUN.search(text):
+            return self.fast.encode_ordinary(text)
+        return A.encode(text, self.path, specials=False)
 
 
 class Aligner:
-    """A byte-level vocabulary (file for operator 4's automaton) on side A, a sentencepiece model on side B."""
+    """Side A by Vocabulary, side B by a sentencepiece model."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a_path, self.model = a_path, sentencepiece.SentencePieceProcessor(model_file=b_path)
-        labels = A.automaton(a_path).labels
-        self.a_bytes = [labels.get(i, b"") for i in range(max(labels) + 1)]
-        size = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(size)]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_len, self.b_len = [len(t) for t in self.a_bytes], [len(t) for t in self.b_bytes]
-        self.a_sizes, self.b_sizes = np.array(self.a_len), np.array(self.b_len)
+        self.a, self.b, self.memo = Vocabulary(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path), A.Memo()
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.a_bytes = self.a.bytes
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
         self.a_space = np.array([t.startswith(b" ") for t in self.a_bytes])
         self.b_space = np.array([t.startswith(b" ") for t in self.b_bytes])
-        self.memo = A.Memo()
+        self.said = [f"{i}{c}" for i in range(max(len(self.a_bytes), len(pieces))) for c in AFTER]
 
     def encode(self, text: str | None) -> tuple[list[int], list[int]]:
         """Both sides' ids of a whole text; two empty lists unless both spell " " + text."""
         if not text:
             return [], []
         whole = (" " + text).encode("utf-8", "surrogatepass")
-        a, b = A.encode(" " + text, self.a_path, specials=False), self.model.encode(text, num_threads=1)
+        a, b = self.a.encode(" " + text), self.b.encode(text, num_threads=1)
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return [], []
         return a, b
 
-    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        """Where windows begin on each side: at shared ends of bytes before tokens that begin with a space on both sides."""
-        x, y = np.array(a), np.array(b)
-        at_a, at_b = np.flatnonzero(self.a_space[x[1:]]) + 1, np.flatnonzero(self.b_space[y[1:]]) + 1
-        _, i, j = np.intersect1d(np.cumsum(self.a_sizes[x])[at_a - 1], np.cumsum(self.b_sizes[y])[at_b - 1], assume_unique=True, return_indices=True)
-        return [0, *at_a[i].tolist()], [0, *at_b[j].tolist()]
+    def windows(self, a: list[int], b: list[int]) -> list[bytes]:
+        """A text's windows: the ids of each, packed as 32-bit integers, side A's and then side B's (marked by B_SIDE).
+
+        They begin where both sides have a token end at the same byte, and a token that begins with a space next.
+        """
+        x, y = np.array(a, np.int32), np.array(b, np.int32)
+        at_a, at_b = np.flatnonzero(self.a_space[x[1:]]), np.flatnonzero(self.b_space[y[1:]])
+        _, i, j = np.intersect1d(np.cumsum(self.a_sizes[x])[at_a], np.cumsum(self.b_sizes[y])[at_b], assume_unique=True, return_indices=True)
+        s, t = np.append(at_a[i] + 1, len(x)), np.append(at_b[j] + 1, len(y))  # ends of windows
+        n, m = np.diff(s, prepend=0), np.diff(t, prepend=0)
+        packed = np.empty(len(x) + len(y), np.int32)
+        packed[np.arange(len(x)) + np.repeat(t - m, n)] = x
+        packed[np.arange(len(y)) + np.repeat(s, m)] = y | B_SIDE
+        raw, ends = packed.tobytes(), ((s + t) * 4).tolist()
+        return list(map(raw.__getitem__, starmap(slice, zip([0, *ends], ends, strict=False))))
+
+    def align(self, keys: list[bytes]) -> list[tuple[bytes, str, bytes, bytes]]:
+        """Of each window: its links (64-bit id pairs in order), the text of its groups, and the groups' tokens on side A and B (32-bit numbers).
+
+        Both sides of a window spell the same bytes, so that windows one after the other are a text again. Its
+        tokens' ends cut it into stretches that lie in one token of each side: a link each.
+        """
+        packed = np.frombuffer(b"".join(keys), np.int32)
+        window, side_b = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys]), packed & B_SIDE != 0
+        x, y, of_x, of_y = packed[~side_b], packed[side_b] ^ B_SIDE, window[~side_b], window[side_b]
+        x_end, y_end = np.cumsum(self.a_sizes[x]), np.cumsum(self.b_sizes[y])
+        ends, shared = np.union1d(x_end, y_end), np.intersect1d(x_end, y_end, assume_unique=True)
+        i, j = np.searchsorted(x_end, ends), np.searchsorted(y_end, ends)
+        links, of_link = x[i].astype(np.int64) << PAIR_BITS | y[j], of_x[i]
+        x_group, y_group = np.searchsorted(shared, x_end), np.searchsorted(shared, y_end)
+        of_group = of_x[np.searchsorted(x_end, shared)]
+        # tokens by group and side, each followed by what the next one needs
+        place = np.concatenate([x_group * 2, y_group * 2 + 1])
+        order = np.argsort(place, kind="stable")
+        ids, place, of = np.concatenate([x, y])[order], place[order], np.concatenate([of_x, of_y])[order]
+        step = np.full(len(ids), 3)
+        step[:-1] = np.select([place[1:] == place[:-1], place[1:] // 2 == place[:-1] // 2, of[1:] == of[:-1]], [0, 1, 2], 3)
+        texts = "".join(map(self.said.__getitem__, (ids.astype(np.int64) * 4 + step).tolist())).split("\n")
+        sizes = [np.bincount(g).astype(np.int32).tobytes() for g in (x_group, y_group)]
+        n_links, n_groups = np.cumsum(np.bincount(of_link)).tolist(), np.cumsum(np.bincount(of_group)).tolist()
+        raw, out, p, g = links.tobytes(), [], 0, 0
+        for text, q, h in zip(texts, n_links, n_groups, strict=False):
+            out.append((raw[p * 8 : q * 8], text, sizes[0][g * 4 : h * 4], sizes[1][g * 4 : h * 4]))
+            p, g = q, h
+        return out
 
-    def windows(self, a: list[int], b: list[int]) -> list[Window]:
-        """All windows of a text in their order."""
+    def aligned(self, a: list[int], b: list[int]) -> list[tuple[bytes, str, bytes, bytes]]:
+        """align() of all windows of a text; those that were there before come from memory."""
         if not a:
             return []
-        (s, t), memo, out = self.cuts(a, b), self.memo, []
-        keys = list(zip(map(tuple, map(a.__getitem__, map(slice, s, [*s[1:], len(a)]))), map(tuple, map(b.__getitem__, map(slice, t, [*t[1:], len(b)]))), strict=True))
-        try:
-            return list(map(memo.young.__getitem__, keys))
-        except KeyError:
-            pass
-        for key in keys:
-            if (w := memo.young.get(key)) is None:
-                n = len(key[0]) + len(key[1])
-                w = memo.old.get(key) or Window(*key, self.a_len, self.b_len)
-                if n <= MEMO_TOKENS:
-                    memo.keep(key, w, 900 + 250 * n)  # objects' heads; pairs, ends and text of a token
-            out.append(w)
+        keys, memo = self.windows(a, b), self.memo
+        young, old = memo.young, memo.old
+        new = [k for k in dict.fromkeys(keys) if k not in young]
+        here = {k: old[k] for k in new if k in old}
+        new = [k for k in new if k not in here]
+        here |= zip(new, self.align(new), strict=True) if new else {}
+        if not here:
+            return list(map(young.__getitem__, keys))
+        out = [young[k] if k in young else here[k] for k in keys]
+        for k, w in here.items():
+            if len(k) <= 4 * MEMO_TOKENS:
+                memo.keep(k, w, 450 + 7 * len(k))  # objects' heads; key, links, sizes and text of its tokens
         return out
 
 
@@ -119,14 +159,14 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def pair_counts(windows: list[Window]) -> Counter:
-    """How often each id pair is linked in a text."""
-    out: Counter = Counter()
-    get = out.get
-    for w, times in Counter(windows).items():
-        for pair, n in w.pairs:
-            out[pair] = get(pair, 0) + n * times
-    return out
+def pair_counts(windows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs that are linked in a text, and how often each is."""
+    return np.unique(np.frombuffer(b"".join([w[0] for w in windows]), np.int64), return_counts=True)
+
+
+def group_ends(windows: list[tuple], side: int) -> np.ndarray:
+    """How many tokens of a side (0 or 1) end with each group."""
+    return np.cumsum(np.frombuffer(b"".join([w[2 + side] for w in windows]), np.int32), dtype=np.int32)
 
 
 def align_documents(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,14 +184,8 @@ def align_documents(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_
         at, out = aligner(a_path, b_path), [keys, [], [], [], [], [], []]
         for text in values:
             a, b = at.encode(text)
-            windows = at.windows(a, b)
-            ends, n, m = ([], []), 0, 0
-            for w in windows:
-                ends[0].extend(n + e for e in w.a_ends)
-                ends[1].extend(m + e for e in w.b_ends)
-                n, m = n + w.a_ends[-1], m + w.b_ends[-1]
-            pairs = pair_counts(windows)
-            for column, value in zip(out[1:], (a, b, *ends, list(pairs), list(pairs.values())), strict=True):
+            windows = at.aligned(a, b)
+            for column, value in zip(out[1:], (a, b, group_ends(windows, 0), group_ends(windows, 1), *pair_counts(windows)), strict=True):
                 column.append(value)
         return out
 
@@ -176,11 +210,10 @@ def summaries(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
             made = [[] for _ in out]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = at.encode(text)
-                windows = at.windows(a, b)
-                pairs = pair_counts(windows)
-                digest = hashlib.sha256(";".join([w.said for w in windows]).encode()).hexdigest() if a else ""
-                groups, links = sum(len(w.a_ends) for w in windows), sum(w.n_links for w in windows)
-                for column, value in zip(made, (row, key, len(a), len(b), groups, links, digest, list(pairs), list(pairs.values())), strict=True):
+                windows = at.aligned(a, b)
+                pairs, times = pair_counts(windows)
+                digest = hashlib.sha256(";".join([w[1] for w in windows]).encode()).hexdigest() if a else ""
+                for column, value in zip(made, (row, key, len(a), len(b), sum(len(w[2]) for w in windows) // 4, times.sum(), digest, pairs, times.astype(np.int32)), strict=True):
                     column.append(value)
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, out, strict=True)], schema=out)

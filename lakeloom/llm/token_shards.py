@@ -74,7 +74,7 @@ class WordEncoder:
                 continue
             here[w] = memo.young.get(w) or memo.old.get(w) or array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(symbols))]).tobytes()
             if len(w) <= MEMO_WORD and w not in memo.young:
-                memo.keep(w, here[w], 250 + 4 * len(w) + len(here[w]))  # objects' heads, characters, ids
+                memo.keep(w, here[w], 200 + 4 * len(w) + len(here[w]))  # objects' heads, characters, ids
         return b"".join(map(here.__getitem__, words))
 
     def encode(self, text: str) -> bytes:

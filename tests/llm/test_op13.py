@@ -2,10 +2,12 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.llm import _common as C
+from lakeloom.llm import bpe_automaton as A
 from lakeloom.llm import token_alignment as T
 from tests.llm import cases
 
@@ -59,10 +61,15 @@ def brute(libraries, rows):
             ranges.append(out)
         a, b = ranges
         cuts = sorted({e for _, _, e in a} & {e for _, _, e in b})
-        groups, low = [], 0
+        groups, at = [], [0, 0]
         for cut in cuts:
-            groups.append("|".join(",".join(str(i) for i, s, e in side if low <= s and e <= cut) for side in ranges))
-            low = cut
+            said = []
+            for side in (0, 1):
+                low = at[side]
+                while at[side] < len(ranges[side]) and ranges[side][at[side]][2] <= cut:
+                    at[side] += 1
+                said.append(",".join(str(i) for i, _, _ in ranges[side][low : at[side]]))
+            groups.append("|".join(said))
         links, first = [], 0
         for i, s, e in a:
             while first < len(b) and b[first][2] <= s:
@@ -106,19 +113,27 @@ def test_random_texts(libraries):
         assert at.encode(text) == ([i for i, _ in a], [i for i, _ in b])
         # windows change nothing: the same as one window of the whole text
         if a:
-            whole, cut = T.Window(tuple(i for i, _ in a), tuple(i for i, _ in b), at.a_len, at.b_len), at.windows(*at.encode(text))
-            assert ";".join(w.said for w in cut) == whole.said and T.pair_counts(cut) == Counter(dict(whole.pairs))
+            ids = at.encode(text)
+            whole, cut = at.align([np.array([*ids[0], *(i | T.B_SIDE for i in ids[1])], np.int32).tobytes()]), at.aligned(*ids)
+            assert ";".join(w[1] for w in cut) == whole[0][1] and b"".join(w[0] for w in cut) == whole[0][0]
+            assert T.group_ends(cut, 0).tolist() == T.group_ends(whole, 0).tolist() and T.group_ends(cut, 1)[-1] == len(b)
 
 
-def test_memory_of_windows_may_be_small(libraries, monkeypatch):
-    from lakeloom.llm import bpe_automaton
+def test_fast_and_linear_encoding_agree():
+    at, rng = T.aligner(A_PATH, B_PATH).a, random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice((chr(rng.randrange(0xD800)), chr(rng.randrange(0x400)), " ", "\n", "a", "1", "'s")) for _ in range(rng.randint(0, 30)))
+        assert at.fast.encode_ordinary(text) == A.encode(text, A_PATH, specials=False)
+
 
-    monkeypatch.setattr(bpe_automaton, "MEMO_BYTES", 2000)
-    monkeypatch.setattr(T, "MEMO_TOKENS", 4)
+def test_memory_of_windows_may_be_small(libraries, monkeypatch):
+    monkeypatch.setattr(A, "MEMO_BYTES", 2000)
+    monkeypatch.setattr(T, "MEMO_TOKENS", 5)
     at = T.Aligner(A_PATH, B_PATH)
     text = "the same words and the same words again, unbelievablyunbrokenwordshere the same"
     ids = at.encode(text)
-    assert [w.said for w in at.windows(*ids)] == [w.said for w in T.aligner(A_PATH, B_PATH).windows(*ids)]
+    for _ in range(3):
+        assert at.aligned(*ids) == T.aligner(A_PATH, B_PATH).aligned(*ids)
     assert len(at.memo.young) + len(at.memo.old) < 6
 
 
