@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.plans.bands import AT, banded, own_window, positions, range_frame, running, whole, with_halo
 from lakeloom.registry import query
-from lakeloom.tables import table, views
+from lakeloom.tables import table
 
 
 @query(
@@ -16,15 +17,24 @@ from lakeloom.tables import table, views
        FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey), s AS (PARTITION BY p_brand ORDER BY p_size)""",
 )
 def ranking(spark, sf_dir):
-    w, s = W.partitionBy("p_brand").orderBy("p_size", "p_partkey"), W.partitionBy("p_brand").orderBy("p_size")
-    return table(spark, sf_dir, "part").select(
+    """Over bands, so that a hot brand isn't one task's work. Ranks of equal sizes come from counts by size, which are far fewer rows."""
+    keys, t = ["p_brand"], table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    rows = whole(positions(banded(t, keys, ["p_size", "p_partkey"]), keys, "rn"), keys, n=F.count("*"))
+    sizes = banded(t.groupBy("p_brand", "p_size").agg(F.count("*").alias("k")), keys, ["p_size"])
+    sizes = running(sizes, keys, upto=("sum", "k"), dr=("count", AT)).select(F.col("p_brand").alias("b"), F.col("p_size").alias("s"), "upto", "dr", (F.col("upto") - F.col("k") + 1).alias("rk"))
+    both = rows.join(sizes, F.col("p_brand").eqNullSafe(F.col("b")) & F.col("p_size").eqNullSafe(F.col("s")))
+    n, rn = F.col("n"), F.col("rn")
+    large, least = n % 4, F.floor(n / 4)  # the first n % 4 quarters have a row more
+    in_large = large * (least + 1)
+    quarter = F.when(rn <= in_large, F.floor((rn - 1) / (least + 1))).otherwise(large + F.floor((rn - 1 - in_large) / F.greatest(least, F.lit(1)))) + 1
+    return both.select(
         "p_partkey",
-        F.row_number().over(w).alias("rn"),
-        F.rank().over(s).alias("rk"),
-        F.dense_rank().over(s).alias("dr"),
-        F.ntile(4).over(w).alias("quarter"),
-        F.round(F.percent_rank().over(s), 8).alias("pr"),
-        F.round(F.cume_dist().over(s), 8).alias("cd"),
+        rn.cast("int").alias("rn"),
+        F.col("rk").cast("int").alias("rk"),
+        F.col("dr").cast("int").alias("dr"),
+        quarter.cast("int").alias("quarter"),
+        F.round(F.when(n > 1, (F.col("rk") - 1) / (n - 1)).otherwise(0.0), 8).alias("pr"),
+        F.round(F.col("upto") / n, 8).alias("cd"),
     )
 
 
@@ -36,16 +46,15 @@ def ranking(spark, sf_dir):
             f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
 )
 def analytic(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    f = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.lag("value").over(w).alias("before"),
-        F.lead("event_type", 2).over(w).alias("after"),
-        F.first("value").over(w).alias("opening"),
-        F.last("value").over(f).alias("closing"),
-        F.nth_value("value", 2).over(f).alias("second"),
-    )
+    """Over bands: neighbours from the halo, a user's first, second and last values by place."""
+    keys = ["user_id"]
+    e = banded(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value"), keys, ["ts", "event_id"])
+    placed = positions(e, keys, "pos")
+    at = lambda c, place: F.max(F.when(F.col("pos") == place, F.col(c)))
+    ends = whole(placed, keys, opening=at("value", 1), second=at("value", 2), closing=F.max_by("value", "pos"))
+    w = own_window(keys)
+    seen = with_halo(ends, keys, 1, 2).select("*", F.lag("value").over(w).alias("before"), F.lead("event_type", 2).over(w).alias("after"))
+    return seen.where("not _halo").select("event_id", "before", "after", "opening", "closing", "second")
 
 
 @query(
@@ -55,12 +64,13 @@ def analytic(spark, sf_dir):
               max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS next_max FROM events""",
 )
 def frames(spark, sf_dir):
-    return spark.sql(
-        """SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS last_five,
-                  count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS last_day,
-                  max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS next_max FROM {events}""",
-        **views(spark, sf_dir, "events"),
-    )
+    """Frames of rows over bands with a halo, the frame of a day over days; no task has to hold a hot user."""
+    keys, t = ["user_id"], table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    day = range_frame(t, keys, F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000, 86_400, last_day=F.count("*"))
+    w = own_window(keys)
+    seen = with_halo(banded(day, keys, ["ts", "event_id"]), keys, 4, 3)
+    seen = seen.select("*", F.round(F.sum("value").over(w.rowsBetween(-4, 0)), 4).alias("last_five"), F.max("value").over(w.rowsBetween(1, 3)).alias("next_max"))
+    return seen.where("not _halo").select("event_id", "last_five", "last_day", "next_max")
 
 
 @query("p22_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.plans.bands import banded, running
 from lakeloom.registry import query
 from lakeloom.tables import table
 
@@ -27,14 +28,15 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_time:
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, order: list[str], values: list[str]) -> DataFrame:
     """Each left row with `values` of the last right row of its key at or before its time (null if none).
 
-    One sort by key and time over the union of both sides; right rows come first among equal times.
-    `order` breaks further ties. Columns of left keep their names, values come from right.
+    Both sides are sorted together into bands (bands.py): a hot key lies in many, and the last right row
+    of earlier bands is carried on. Right rows come first among equal times; `order` breaks further ties.
+    Columns of left keep their names, values come from right.
     """
     own = [c for c in left.columns if c != key and c != time]
     l_rows = left.select(key, time, F.lit(1).alias("_side"), F.struct(*own).alias("_left"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_right"), *(F.lit(None).cast("long").alias(f"_o{i}") for i in range(len(order))))
     r_rows = right.select(key, time, F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*own)).schema[0].dataType).alias("_left"), F.struct(*values).alias("_right"), *(F.col(c).cast("long").alias(f"_o{i}") for i, c in enumerate(order)))
-    w = Window.partitionBy(key).orderBy(time, "_side", *(f"_o{i}" for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, 0)
-    merged = l_rows.unionByName(r_rows).withColumn("_last", F.last("_right", ignorenulls=True).over(w))
+    both = banded(l_rows.unionByName(r_rows), [key], [time, "_side", *(f"_o{i}" for i in range(len(order)))])
+    merged = running(both, [key], _last=("last", "_right"))
     return merged.where("_side = 1").select(key, time, "_left.*", *(F.col("_last")[v].alias(v) for v in values))
 
 
