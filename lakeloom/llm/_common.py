@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeloom.tables import shared_folder, table  # noqa: F401 (used by the operators)
+from lakeloom.tables import saved, shared_folder, table  # noqa: F401 (used by the operators)
 
 #: Bytes of an Arrow batch that travels to a Python worker.
 BATCH_BYTES = "4m"
@@ -49,13 +49,6 @@ def ship(spark: SparkSession) -> None:
 _shipped: dict = {}
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and rereads it, which cuts its lineage."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Keys that may be broadcast: beyond so many (of 40 bytes at most) a join shuffles.
 BROADCAST_ROWS = 500_000
 

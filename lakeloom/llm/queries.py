@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import audio_features, bm25_decontamination, bpe_automaton, factorisation_machine, language_profiles, license_scan, mincut_extraction, pii_surrogates, pipeline, simhash, token_alignment, token_shards
+from lakeloom.llm import audio_features, bm25_decontamination, bpe_automaton, chat_formatting, embedding_whitening, factorisation_machine, language_profiles, license_scan, mincut_extraction, pii_surrogates, pipeline, simhash, token_alignment, token_shards
 
 QUERIES = {
     "op1_audio_features": audio_features.op1_audio_features,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_bm25_decontamination": bm25_decontamination.op8_bm25_decontamination,
     "op9_language_profiles": language_profiles.op9_language_profiles,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_chat_formatting": chat_formatting.op11_chat_formatting,
+    "op12_embedding_whitening": embedding_whitening.op12_embedding_whitening,
     "op13_token_alignment": token_alignment.op13_token_alignment,
     "pipeline": pipeline.run,
 }

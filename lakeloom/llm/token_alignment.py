@@ -140,17 +140,17 @@ class Aligner:
         if not a:
             return []
         keys, memo = self.windows(a, b), self.memo
-        young, old = memo.young, memo.old
-        new = [k for k in dict.fromkeys(keys) if k not in young]
-        here = {k: old[k] for k in new if k in old}
-        new = [k for k in new if k not in here]
-        here |= zip(new, self.align(new), strict=True) if new else {}
-        if not here:
-            return list(map(young.__getitem__, keys))
-        out = [young[k] if k in young else here[k] for k in keys]
-        for k, w in here.items():
-            if len(k) <= 4 * MEMO_TOKENS:
-                memo.keep(k, w, 450 + 7 * len(k))  # objects' heads; key, links, sizes and text of its tokens
+        out = list(map(memo.young.get, keys))
+        gaps = [i for i, w in enumerate(out) if w is None]
+        if gaps:
+            here = {k: memo.old.get(k) for k in map(keys.__getitem__, gaps)}
+            new = [k for k, w in here.items() if w is None]
+            here |= zip(new, self.align(new), strict=True) if new else {}
+            for i in gaps:
+                out[i] = here[keys[i]]
+            for k, w in here.items():
+                if len(k) <= 4 * MEMO_TOKENS:
+                    memo.keep(k, w, 450 + 7 * len(k))  # objects' heads; key, links, sizes and text of its tokens
         return out
 
 
