@@ -95,14 +95,15 @@ class MarkedTemplate:
 
     def __init__(self, controls: tuple[str, ...] = CONTROLS):
         rests = sorted({(c[0], c[1:]) for c in (*controls, self.START, self.END)})
+        self._firsts = {first for first, _ in rests}
         self._to_mark = re.compile("|".join(rf"(?<={re.escape(first)})(?=\\*{re.escape(rest)})" for first, rest in rests))
         self._marked = re.compile("|".join(rf"(?<={re.escape(first)})\\(?=\\*{re.escape(rest)})" for first, rest in rests))
 
     def escape(self, text: str) -> str:
-        return self._to_mark.sub(r"\\", text)
+        return self._to_mark.sub(r"\\", text) if any(c in text for c in self._firsts) else text
 
     def unescape(self, text: str) -> str:
-        return self._marked.sub("", text)
+        return self._marked.sub("", text) if "\\" in text else text
 
     def _role(self, role: str) -> str:
         return self.escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
