@@ -32,6 +32,6 @@ def load() -> None:
     """Imports all modules that register queries."""
     from lakeloom.functions import arrays, dates, nested, numbers, strings, udfs  # noqa: F401
     from lakeloom.operators import aggregates, joins, reports, sets, subqueries, windows  # noqa: F401
-    from lakeloom.plans import intervals, vectors  # noqa: F401
+    from lakeloom.plans import intervals, overlaps, vectors  # noqa: F401
     from lakeloom.sources import formats, scans  # noqa: F401
-    from lakeloom.streaming import batch_windows, streams  # noqa: F401
+    from lakeloom.streaming import batch_windows, stream_joins, streams, timers  # noqa: F401

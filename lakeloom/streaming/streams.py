@@ -25,11 +25,27 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append", target: str | None = None) -> DataFrame:
-    """Runs the stream over all that is there, and reads what it wrote (exactly once, by the sink's log). With the same target it goes on where it ended."""
+#: State store of processors with timers, lists and maps; state beyond memory lies on the executor's disk.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def drained(stream: DataFrame, mode: str = "append", target: str | None = None, conf: dict[str, str] | None = None, progress: list | None = None) -> DataFrame:
+    """Runs the stream over all that is there, and reads what it wrote (exactly once, by the sink's log). With the same target it goes on where it ended.
+
+    conf holds for the start of this stream only; its progress reports are put into `progress`.
+    """
     spark, target = stream.sparkSession, target or shared_folder(stream.sparkSession)
-    done = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
-    done.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        done = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+        done.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if progress is not None:
+        progress.extend(done.recentProgress)
     return spark.read.schema(stream.schema).parquet(f"{target}/out")
 
 
