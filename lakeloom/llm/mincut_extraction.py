@@ -38,8 +38,8 @@ CONTROLS = frozenset("input select textarea button".split())
 #: Evidence of elements: kinds that hold for all below, those that an article below may outweigh, those that speak for it.
 NEVER, OUTSIDE, WITHIN = frozenset("nav menu footer aside".split()), frozenset("header fieldset".split()), {"article": 5.0, "main": 3.0}
 #: Words of class, id and role names that speak against or for what is below; those of reader comments.
-AGAINST = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies copyright dialog disclaimer feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup privacy promo promoted promotion recommended related search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets".split())
-COMMENTS = frozenset("comment comments discussion disqus replies reply".split())
+AGAINST = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline complementary consent contentinfo cookie cookies copyright dialog disclaimer feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup privacy promo promoted promotion recommended related search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets anuncio anuncios anzeige barre cabecera fusszeile kopfzeile lateral navegacion pied publicidad publicite seitenleiste werbung".split())
+COMMENTS = frozenset("comment comments commentaires comentarios discussion disqus kommentar kommentare replies reply".split())
 FOR = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
 #: Names that are written together with others; words with which a name tells what a part has or is laid out for.
 COMPOUND = re.compile("(?:advert|breadcrumb|cookie|newsletter|sidebar)[a-z]*|[a-z]+(?:banner|footer|header|menu|modal|nav|popup|sidebar|widget)")
@@ -58,7 +58,9 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|xmp|noembed|noframes)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z|[^<]++|<",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMING = frozenset("class id role".split())
+HIDES = re.compile(r"display\s*:\s*none", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -74,16 +76,22 @@ class Node:
         self.words = self.linked = self.controls = 0
         self.name = ""
         if attributes:
-            self.name = evidence_of(attributes)
-            if "hidden" in attributes and re.search(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", attributes):
+            given = attributes_of(attributes)
+            self.name = evidence_of(given)
+            if any(name == "hidden" or (name == "style" and HIDES.search(value)) for name, value in given):
                 self.unseen = True
 
 
-def evidence_of(attributes: str) -> str:
+def attributes_of(raw: str) -> list[tuple[str, str]]:
+    """Names in lower case and values ("" if there is none) of a tag's attributes."""
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)]
+
+
+def evidence_of(attributes: list[tuple[str, str]]) -> str:
     """What class, id and role names say: "comments", "against", "for" or nothing. A name of both kinds, or of a layout, says nothing."""
     said = set()
-    for m in NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
+    for attribute, value in attributes:
+        for name in value.split() if attribute in NAMING else ():
             words = {w.lower() for w in NAME_WORD.findall(name)}
             comments = not COMMENTS.isdisjoint(words) or any(map(COMPOUND_COMMENTS.fullmatch, words))
             against, favour = comments or not AGAINST.isdisjoint(words) or any(map(COMPOUND.fullmatch, words)), not FOR.isdisjoint(words)

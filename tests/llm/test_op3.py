@@ -3,6 +3,8 @@ import itertools
 import random
 import re
 
+import pytest
+
 from lakeloom.llm import mincut_extraction as A
 
 
@@ -98,3 +100,21 @@ def test_hostile_pages_take_linear_time():
     A.main_text("<p><div>" + "<x>" * n + "</p>" * n)
     A.main_text("<article>" + "<p>many words in a very long page.</p>" * 20_000 + "</article>")
     assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("opening", ['<div title="hidden gems of Rome">', '<div data-x="hidden">', "<div data-hidden='no' aria-hidden=false>", '<div title="class=footer" data-class="sidebar">', '<div style="visibility:visible" alt="display:none">'])
+def test_values_of_other_attributes_hide_nothing(opening):
+    words = "The old road leads from the harbour over the hill to the market and the church of the town, where many people live. " * 2
+    assert A.main_text(f"<html><body>{opening}<article><p>{words}</p></article></div></body></html>")[0] == words.strip()
+
+
+@pytest.mark.parametrize("opening", ["<div hidden>", "<div HIDDEN=''>", '<div style="color:red; display : none">'])
+def test_hidden_parts_are_left_out(opening):
+    words = "The old road leads from the harbour over the hill to the market and the church of the town, where many people live."
+    assert A.main_text(f"<html><body><article><p>{words}</p>{opening}<p>{words} Hidden.</p></div></article></body></html>")[0] == words
+
+
+@pytest.mark.parametrize("name", ["seitenleiste", "fusszeile", "kommentare", "publicite", "comentarios"])
+def test_names_in_other_languages(name):
+    words = "The old road leads from the harbour over the hill to the market and the church of the town, where many people live."
+    assert A.main_text(f'<html><body><article><p>{words}</p></article><div class="{name}"><p>Mehr davon lesen</p></div></body></html>')[0] == words
