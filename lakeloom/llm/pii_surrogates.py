@@ -48,20 +48,28 @@ CODES = {1: "1 7".split(), 2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 4
 #: Their first letters: a quick test before the longer ones.
 _FIRST = "".join(sorted({t[0] for t in " ".join(TITLES.values()).split()}))
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+_TITLE = rf"(?:{'|'.join(' '.join(TITLES.values()).split())})"
+#: A name's titles, one or several.
+TITLED = rf"^(?:{_TITLE}\.? +)+"
+#: What secrets of known makers begin with (fixed by them).
+MAKERS = r"(?:(?:sk|pk)[-_](?:(?:live|test)[-_])?|(?:github_pat|ghp|gho|glpat|xoxb|xoxp)[-_])"
+#: A word that says that a secret follows, in a name that may go on, maybe quoted; or the scheme of a header.
+NAMED = r"(?i:token|secret|passwo?r?d|api[_-]?key)[\w-]{0,24}[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+BEARER = r"(?i:bearer)\s{1,2}"
 #: Patterns of each kind, in the order in which they are tried.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|glpat|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?![0-9A-Za-z])|(?<=(?i:token|secret|passwo?r?d|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{12,}",
+    "secret": rf"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{{32,}}|eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{5,}}|AKIA[0-9A-Z]{{16}}|{MAKERS}[A-Za-z0-9_-]{{16,}})(?![0-9A-Za-z])|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{12}})(?<={NAMED}|{BEARER})[A-Za-z0-9+/_-]{{12,}}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)|(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d+(-])\d(?:[ -]?\d){12,18}(?!\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}(?!\d)|(?<![\w+])\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+.-])(?:\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4} \d{3,4} \d{3,4}|0\d(?:[ .-]\d{2}){4}|0\d{1,4}[ /-]\d{5,8})(?!\d)",
-    "name": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{'|'.join(' '.join(TITLES.values()).split())})\.? +{_NAME}(?: +{_NAME})?",
+    "name": rf"(?=[{_FIRST}])(?<!\p{{L}})(?:{_TITLE}\.? +)+{_NAME}(?: +{_NAME}){{0,3}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What each kind can't be without, quickly told: a digit, an @, or what a secret without digits and a name begin with.
-MAYBE = r"[@0-9]|[A-Fa-f]{32}|eyJ|AKIA|(?:sk|pk|ghp|gho|glpat|xoxb|xoxp)[-_]|(?i:token|secret|passwo?r?d|api[_-]?key)\s{0,2}[=:]|" + KINDS["name"]
+MAYBE = rf"[@0-9]|[A-Fa-f]{{32}}|eyJ|AKIA|{MAKERS}|{NAMED}|{BEARER}|" + KINDS["name"]
 #: A secret of hexadecimal digits, in lower, upper or mixed case.
 HEX = "^[0-9A-Fa-f]{32,}$"
 ROUNDS = 40
@@ -134,9 +142,9 @@ def pick(bits: Column, at: int, of: list[str]) -> Column:
     return F.element_at(F.array(*map(F.lit, of)), (F.conv(F.substring(bits, at, 2), 16, 10).cast("int") % len(of) + 1).cast("int"))
 
 
-def candidate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def candidate(kind: Column, canon: Column, attempt: Column, key: Column) -> Column:
     """The surrogate of an entity's canonical form after `attempt` lost collisions."""
-    bits = stream(F.lit(key), kind, canon, attempt.cast("string"))
+    bits = stream(key, kind, canon, attempt.cast("string"))
     digits, n = F.translate(bits, "abcdef", "012345"), F.length(canon)
     hexadecimal = F.substring(bits, 1, 256)
     card = F.concat(F.left(canon, F.lit(1)), digits.substr(F.lit(2), n - 2))
@@ -150,7 +158,7 @@ def candidate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     host = F.concat_ws(".", F.when(F.size(below) > 0, mapped), F.when(reserved, F.concat(F.lit("example."), F.element_at(labels, -1))).otherwise(F.lit("example")))
     octets = [F.conv(F.substring(bits, 2 * i + 1, 2), 16, 10).cast("int") for i in range(4)]
     address = F.when(canon.contains(":"), like_hex(canon, bits)).otherwise(F.concat_ws(".", (240 + octets[0] % 15).cast("string"), *(o.cast("string") for o in octets[1:3]), (1 + octets[3] % 254).cast("string")))
-    prefix = F.regexp_extract(canon, r"^(AKIA|(?:sk|pk|ghp|gho|glpat|xoxb|xoxp)[-_])", 1)
+    prefix = F.regexp_extract(canon, rf"^(AKIA|{MAKERS})", 1)
     secret = F.when(canon.rlike("^[0-9a-f]{1,256}$"), hexadecimal.substr(F.lit(1), n)).when(canon.rlike(HEX), like_hex(canon, bits, cased=True)).otherwise(F.concat(prefix, like(canon.substr(F.length(prefix) + 1, n), bits)))
     name = F.coalesce(*(F.when(F.concat(kind, F.lit("/"), script_of(canon)) == f"{prefix_}{g}/{script}", _name(bits, attempt, script, g)) for script in PARTS for g, prefix_ in (("m", "given_"), ("f", "given_"), ("n", "given_"), ("", "surname"))))
     country, account = F.left(canon, F.lit(2)), like(canon.substr(F.lit(5), n), bits)
@@ -195,26 +203,31 @@ def rendered(kind: Column, raw: Column, surrogate: Column) -> Column:
 
 def tokens(kind: Column, raw: Column) -> Column:
     """The entities in a match: a name's words have each their own, all other matches are one."""
-    words = F.split(F.regexp_replace(raw, r"^\p{L}+\.? +", ""), " +")
-    title = F.regexp_extract(raw, r"^\p{L}+", 0)
-    gender = F.when(title.isin(*TITLES["f"].split()), F.lit("given_f")).when(title.isin(*TITLES["n"].split()), F.lit("given_n")).otherwise(F.lit("given_m"))
+    words = F.split(F.regexp_replace(raw, TITLED, ""), " +")
+    titles = F.transform(F.split(F.regexp_extract(raw, TITLED, 0), " +"), lambda t: F.rtrim(t, F.lit(".")))
+    has = lambda g: F.arrays_overlap(titles, F.array(*map(F.lit, TITLES[g].split())))
+    gender = F.when(has("f"), F.lit("given_f")).when(has("m"), F.lit("given_m")).otherwise(F.lit("given_n"))
     made = lambda k, part, canon: F.struct(k.alias("kind"), part.alias("part"), canon.alias("canon"))
     name = lambda w, k: made(k, w, F.initcap(F.lower(w)))
     last = name(F.element_at(words, -1), F.lit("surname"))
-    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(name(words[0], gender), last)).otherwise(F.array(last))).otherwise(F.array(made(kind, raw, canonical(kind, raw))))
+    given = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: name(w, gender))
+    return F.when(kind == "name", F.concat(given, F.array(last))).otherwise(F.array(made(kind, raw, canonical(kind, raw))))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, surrogate) of each distinct (kind, canon): no surrogate comes twice in a kind or is an entity of it.
 
     Only those that lost a collision go on to the next round. Every round is written to the shared
-    folder; the driver only learns how many collisions were left.
+    folder; the driver only learns how many collisions were left. The key is joined as a row's value: as a
+    literal it would stand in plans, and so in event logs. Raises RuntimeError after ROUNDS rounds with collisions.
     """
+    secret = F.broadcast(entities.sparkSession.createDataFrame([(1, key)], "one int, secret string"))
     every = C.saved(entities.select("kind", "canon").distinct())
     real = every.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("taken"))
     left, settled = every, None
     for attempt in range(ROUNDS):
-        now = C.saved(left.withColumn("surrogate", candidate(F.col("kind"), F.col("canon"), F.lit(attempt), key)))
+        now = left.withColumn("one", F.lit(1)).join(secret, "one").withColumn("surrogate", candidate(F.col("kind"), F.col("canon"), F.lit(attempt), F.col("secret")))
+        now = C.saved(now.drop("one", "secret"))
         owner = now.groupBy("kind", "surrogate").agg(F.min("canon").alias("owner"))
         judged = now.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         judged = C.saved(judged.select("kind", "canon", "surrogate", ((F.col("owner") != F.col("canon")) | F.col("taken").isNotNull()).alias("lost")))
@@ -235,20 +248,20 @@ def replace_entities(df: DataFrame, key: str, text_col: str = "text", count_col:
     repeated rows repeat with equal results, other columns stay as they are (a count_col of theirs is
     replaced), an empty table gives an empty one.
     """
-    row, made, names = (C.fresh(df, name) for name in ("pii_row", "pii_made", "pii_names"))
+    row, made, names, alone = (C.fresh(df, name) for name in ("pii_row", "pii_made", "pii_names", "pii_alone"))
     kept = [c for c in df.columns if c != count_col]
     text = F.col(text_col)
     hit = F.coalesce(text.rlike(MAYBE) & text.rlike(PATTERN), F.lit(False))
     hits = C.saved(df.where(hit).select(*kept))
     found = hits.select(F.md5(text).alias("row"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).alias("raw")).distinct()
-    found = found.withColumn("match", kind_of(F.col("raw"))).where((F.col("match") != "card") | (luhn(_digits(F.col("raw"))) == 0))
+    found = found.withColumn("match", kind_of(F.col("raw"))).where((F.col("match") != "card") | (luhn(_digits(F.col("raw"))) == 0)).where((F.col("match") != "iban") | (mod97(F.regexp_replace("raw", " ", "")) == 1))
     found = found.select("row", "raw", "match", F.posexplode(tokens(F.col("match"), F.col("raw"))).alias("place", "entity")).select("row", "raw", "match", "place", "entity.*")
     found = C.saved(found)
     known = assign(found, key)
     each = found.join(known, ["kind", "canon"]).withColumn("out", rendered(F.col("kind"), F.col("part"), F.col("surrogate")))
     # the words of a name in the order in which they came, after its title
     whole = each.groupBy("row", "raw", "match").agg(F.array_sort(F.collect_list(F.struct("place", "part", "out"))).alias("parts"))
-    title = F.regexp_extract("raw", r"^\p{L}+\.? +", 0)
+    title = F.regexp_extract("raw", TITLED, 0)
     out = F.when(F.col("match") == "name", F.concat(title, F.array_join("parts.out", " "))).otherwise(F.element_at("parts.out", 1))
     maps = whole.withColumn("out", out).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("raw", "out"))).alias(made), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("match") == "name", F.col("parts"))))).alias(names)).withColumnRenamed("row", row)
     # texts are dealt out evenly before the costly part, whatever the join made of them
@@ -256,18 +269,25 @@ def replace_entities(df: DataFrame, key: str, text_col: str = "text", count_col:
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     hits = hits.withColumn(row, F.md5(text)).join(maps, row, "left").repartition(n)
     between, entities = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    bare = lambda t: F.aggregate(names, t, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})\Q"), n["part"], F.lit(r"\E(?!\p{L})")), n["out"]))
-    between = F.when(F.size(names) > 0, F.transform(between, bare)).otherwise(between)
+    # a name without its title, as it was or in capitals; not one that the text also has as a word in lower case
+    word = lambda w: F.concat(F.lit(r"(?<!\p{L})\Q"), w, F.lit(r"\E(?!\p{L})"))
+    again = lambda t, n: F.regexp_replace(F.regexp_replace(t, word(n["part"]), n["out"]), word(F.upper(n["part"])), F.upper(n["out"]))
+    own = F.filter(names, lambda n: ~F.rlike(text, word(F.lower(n["part"]))))
+    bare = lambda t: F.aggregate(F.col(alone), t, again)
+    between = F.when(F.size(alone) > 0, F.transform(between, bare)).otherwise(between)
     out = lambda e: F.coalesce(F.element_at(made, e), e)  # noqa: E731  what only looks like an entity stays
     new = F.array_join(F.zip_with(between, F.transform(entities, out), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     count = F.size(F.filter(entities, lambda e: F.map_contains_key(made, e)))
-    replaced = hits.withColumn(count_col, F.when(F.col(made).isNull(), 0).otherwise(count)).withColumn(text_col, F.when(F.col(made).isNull(), text).otherwise(new)).select(*kept, count_col)
+    replaced = hits.withColumn(alone, own).withColumn(count_col, F.when(F.col(made).isNull(), 0).otherwise(count)).withColumn(text_col, F.when(F.col(made).isNull(), text).otherwise(new)).select(*kept, count_col)
     return df.where(~hit).select(*kept).withColumn(count_col, F.lit(0)).unionByName(replaced)
 
 
 def default_key(spark: SparkSession) -> str:
-    """The secret of the session (spark.lakeloom.surrogate.key). Where it has none, one is drawn and kept for the session, so that nobody can replay the surrogates."""
-    setting = "spark.lakeloom.surrogate.key"
+    """The secret of the session (spark.lakeloom.surrogate.secret; Spark redacts settings of such names in its logs).
+
+    Where it has none, one is drawn and kept for the session, so that nobody can replay the surrogates.
+    """
+    setting = "spark.lakeloom.surrogate.secret"
     if not spark.conf.get(setting, ""):
         spark.conf.set(setting, secrets.token_hex(16))
     return spark.conf.get(setting)

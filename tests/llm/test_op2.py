@@ -159,3 +159,47 @@ def test_all_kinds_of_the_documents_are_replaced(spark):
         if not re.search("[@0-9]", text):
             assert after[i] == text
     assert hits
+
+
+def test_secrets_by_name_in_many_forms(spark):
+    texts = ['{"password": "hunter2hunter2"}', "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIbPxRfiCY", "Authorization: Bearer abcdEFGHijkl1234", "'api-key' : 'zxcvbnmasdfghj'", "github_pat_11ABCDEFG0abcdefgh12", "client_secret_v2 = QWERTYqwerty12"]
+    for before, after in zip(texts, replaced(spark, texts), strict=True):
+        own = re.search(r"[A-Za-z0-9+/_-]+(?=\W*$)", before)[0]
+        assert own not in after and len(after) == len(before) and re.sub(r"\w", "", after) == re.sub(r"\w", "", before), (before, after)
+    live = replaced(spark, ["sk_live_abcdefgh12345678", "the secret: a long story about tokens"])
+    assert live[0].startswith("sk_live_") and "abcdefgh" not in live[0] and live[1] == "the secret: a long story about tokens"
+
+
+def test_titles_and_names(spark):
+    a, b, c, d = replaced(spark, ["Frau Dr. Müller kam. Dr. Müller ging.", "Mr José María Aznar López spoke.", "Mr. May left in may. May I ask? MAY", "Mr. Smith and then SMITH, Smith; smithy"])
+    m = re.fullmatch(r"Frau Dr\. (\w+) kam\. Dr\. (\w+) ging\.", a)
+    assert m and m[1] == m[2] != "Müller"
+    assert re.fullmatch(r"Mr \w+ \w+ \w+ \w+ spoke\.", b) and not re.search("José|María|Aznar|López", b)
+    assert re.fullmatch(r"Mr\. (?!May)\w+ left in may\. May I ask\? MAY", c)
+    m = re.fullmatch(r"Mr\. (\w+) and then (\w+), (\w+); smithy", d)
+    assert m and m[1] == m[3] != "Smith" and m[2] == m[1].upper()
+
+
+def test_accounts_that_fail_their_check_stay(spark):
+    good, bad = replaced(spark, ["to DE89 3704 0044 0532 0130 00", "part AB12 3456 7890 WXYZ"])
+    assert "3704" not in good and bad == "part AB12 3456 7890 WXYZ"
+
+
+def test_the_key_is_in_no_event_log(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", "{tmp_path}").config("spark.lakeloom.surrogate.secret", "kept-out-of-logs").getOrCreate()
+from lakeloom.llm import pii_surrogates as A
+df = spark.createDataFrame([(1, "Mr. John Smith, j.smith@corp.com")], "doc_id int, text string")
+print(A.replace_entities(df, A.default_key(spark)).first().text)
+spark.stop()
+"""
+    root = Path(__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, timeout=200, check=True)
+    assert "Mr. " in out.stdout and "Smith" not in out.stdout
+    logs = [f for f in tmp_path.rglob("*") if f.is_file()]
+    assert logs and not any("kept-out-of-logs" in f.read_text("utf-8", "ignore") for f in logs)
