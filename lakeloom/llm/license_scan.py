@@ -42,17 +42,23 @@ TEMPLATES = {
     "BSD-2-Clause": ["Licensed under the 2-Clause BSD License", "SPDX-License-Identifier: BSD-2-Clause"],
     "ISC": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License Version 2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "SPDX-License-Identifier: CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"],
     "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "EPL-2.0": ["Eclipse Public License v2.0", "SPDX-License-Identifier: EPL-2.0"],
     "Proprietary": ["All rights reserved", "Proprietary and confidential"],
+    # what licences share with other texts: a line that is nearest to these is no notice
+    "-": ["Version 2.0", "Version 2", "Version 2.1", "Version 3", "Version 3.0", "Version 1.0"],
 }
+#: The name of templates that are no licence.
+NO_LICENCE = "-"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Cosine from which a line is a notice, and a whole text a licence file.
 NOTICE_SCORE, FILE_SCORE = 0.6, 0.7
@@ -72,9 +78,10 @@ class Templates:
 
     def __init__(self, templates: dict[str, list[str]], base: float = 1):
         texts = [(name, Counter(re.findall(WORD, t.lower()))) for name, group in sorted(templates.items()) for t in group]
-        df = Counter(w for _, c in texts for w in c)
-        self.idf = {w: base + math.log((1 + len(texts)) / (1 + n)) for w, n in df.items()}
-        self.unknown = base + math.log(1 + len(texts))
+        licences = [c for name, c in texts if name != NO_LICENCE]  # what is no licence weighs nothing in others
+        df = Counter(w for c in licences for w in c)
+        self.idf = {w: base + math.log((1 + len(licences)) / (1 + df[w])) for _, c in texts for w in c}
+        self.unknown = base + math.log(1 + len(licences))
         self.rows = []
         for number, (name, c) in enumerate(texts):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
@@ -195,7 +202,7 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", template
 
     def scored(kind: str, model: Templates, least: float) -> DataFrame:
         once = some.where(F.col("kind") == kind).groupBy("unit_key").agg(F.first("unit").alias("unit"))
-        return C.saved(cosines(counted(once, F.col("unit_key"), F.col("unit")), model).where(F.col("score") >= least))
+        return C.saved(cosines(counted(once, F.col("unit_key"), F.col("unit")), model).where((F.col("score") >= least) & (F.col("license") != NO_LICENCE)))
 
     files = scored("file", body, FILE_SCORE)
     lines = some.where("kind = 'line'").select("key", "unit_key").distinct().join(scored("line", header, NOTICE_SCORE).withColumnRenamed("key", "unit_key"), "unit_key")
@@ -251,7 +258,7 @@ def oracle() -> str:
     best AS (SELECT kind, key, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (kind, key) WHERE norm > 0
              QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY round(dot / norm, 6) DESC, license) = 1),
     files AS (SELECT key, license, score FROM best WHERE kind = 'file' AND score >= {FILE_SCORE}),
-    notices AS (SELECT l.key, license, score FROM lines l JOIN best b ON b.kind = 'line' AND b.key = l.line AND score >= {NOTICE_SCORE}
+    notices AS (SELECT l.key, license, score FROM lines l JOIN best b ON b.kind = 'line' AND b.key = l.line AND score >= {NOTICE_SCORE} AND license <> '{NO_LICENCE}'
                 QUALIFY row_number() OVER (PARTITION BY l.key ORDER BY score DESC, license) = 1),
     declared AS (SELECT dir, license, score FROM docs JOIN files USING (key) WHERE dir IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
     above AS (SELECT DISTINCT dir, n AS depth, array_to_string(string_split(dir, '/')[1:n], '/') AS up FROM docs, range(0, 3) r(n) WHERE n <= len(string_split(dir, '/'))),

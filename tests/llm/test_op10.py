@@ -135,3 +135,20 @@ def test_null_source_or_language_is_a_null_path(spark):
 
 def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Arrow|Pandas", A.op10_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString())
+
+
+def test_version_numbers_are_no_notice_and_identifiers_are(spark):
+    said = {
+        "This is version 2.0": None,
+        "version 2.0": None,
+        "Version 3": None,
+        "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0",
+        "SPDX-License-Identifier: EPL-2.0": "EPL-2.0",
+        "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1",
+        "Mozilla Public License Version 2.0": "MPL-2.0",
+        "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+    }
+    df = spark.createDataFrame([(i, f"first line\n{t}\nlast line", f"d{i}/f") for i, t in enumerate(said)], "doc_id int, text string, path string")
+    got = {r.doc_id: r.license for r in A.scan(df).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
