@@ -22,6 +22,7 @@ Before whole texts are moved to be compared, pairs pass the sketches' bound agai
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -259,6 +260,11 @@ def may_be_alike() -> Column:
     return (NUMERATOR * a <= DENOMINATOR * b) & (NUMERATOR * b <= DENOMINATOR * a) & ((DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * (a + b))
 
 
+def size_band(size: str) -> Column:
+    """Bands each a quarter wider than the one before: sets whose sizes are within DENOMINATOR / NUMERATOR are in one band or in neighbours."""
+    return F.floor(F.log(F.greatest(F.col(size), F.lit(1))) / math.log(1.0001 * DENOMINATOR / NUMERATOR))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
     """(id_col, component_id) of every row: component_id is the smallest id that can be reached by links; ids aren't null.
 
@@ -278,7 +284,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str = "text", width: i
     of = {end: rows.join(links.sketches[end].withColumnRenamed(end, "node"), "node").withColumnsRenamed({"node": end, "group": f"group_{end}"}) for end in "ab"}
     outside = of["a"].join(best, "token").where(F.col("group_a") != F.col("hub_group"))
     once = (F.col("group_b") == F.col("hub_group")) | (F.col("group_a") < F.col("group_b"))
-    pairs = outside.join(of["b"], (outside.token == of["b"].token) & (F.col("group_a") != F.col("group_b")) & once & may_be_alike())
+    # linked sets are of one band of sizes or of neighbours, so a shingle of many nodes is dealt by bands and never compares sets of far sizes
+    outside = outside.withColumn("band", F.explode(F.array(*(size_band("size_a") + k for k in (-1, 0, 1)))))
+    near = of["b"].withColumn("band", size_band("size_b")).withColumnRenamed("token", "own_token")
+    pairs = outside.join(near, (outside.token == near.own_token) & (outside.band == near.band) & (F.col("group_a") != F.col("group_b")) & once & may_be_alike())
     links.compare(pairs.select("a", "b"))
     every = links.grouped(made.select(id_col, "node"))
     low = every.groupBy("group").agg(F.min(id_col).alias("component_id"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import near_copies as A
 from lakeloom.llm import pipeline as P
@@ -56,3 +57,9 @@ def test_documents_equal_all_pairs(spark):
     docs = cases.documents(spark)
     want = kept([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in P.dedup_stage(spark, docs, "").collect()) == want
+
+
+def test_linked_sizes_are_in_neighbouring_bands(spark):
+    df = spark.range(1, 3000).selectExpr("id as a", "ceil(id * 5 / 4) as b", "cast(floor(id * 5 / 4) as long) as c")
+    far = df.where((F.abs(A.size_band("a") - A.size_band("c")) > 1)).count()
+    assert far == 0
