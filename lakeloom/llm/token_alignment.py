@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from functools import lru_cache
 from itertools import starmap
 
@@ -31,14 +30,19 @@ PAIR_BITS = 32
 B_SIDE = 1 << 30
 #: Windows of more tokens than this are aligned anew each time.
 MEMO_TOKENS = 64
-#: Texts with longer runs of the same kind of characters are encoded by operator 4's automaton, which takes time in proportion to a word's length.
-LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+#: Texts with so many characters in a row without a space, or of white space alone, are encoded by operator 4's automaton, which takes time in proportion to a word's length.
+LONG_RUN = 1000
 #: Counts of so many id pairs at most, the most frequent ones, are broadcast (16 bytes each).
 FREQUENT = 250_000
 #: What stands after an id in the text of groups: one more of its group's side, side B, the next group, the next window.
 AFTER = ",|;\n"
 
 
+def has_long_run(text: str) -> bool:
+    """True if a run has 2 * LONG_RUN characters or more: it then holds one of the stretches that are looked at."""
+    return any(text.find(" ", i, i + LONG_RUN) < 0 or text[i : i + LONG_RUN].isspace() for i in range(0, len(text) - LONG_RUN + 1, LONG_RUN))
+
+
 class Vocabulary:
     """Side A: a byte-level vocabulary, read from the file of the tokenizers library."""
 
@@ -59,7 +63,7 @@ class Vocabulary:
             self.bytes[i] = t
 
     def encode(self, text: str) -> list[int]:
-        if self.fast and not LONG_RUN.search(text):
+        if self.fast and not has_long_run(text):
             return self.fast.encode_ordinary(text)
         return A.encode(text, self.path, specials=False)
 
@@ -74,7 +78,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.a_bytes = self.a.bytes
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_sizes, self.b_sizes = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
+        self.a_len = list(map(len, self.a_bytes))
+        self.a_sizes, self.b_sizes = np.array(self.a_len), np.array(list(map(len, self.b_bytes)))
         self.a_space = np.array([t.startswith(b" ") for t in self.a_bytes])
         self.b_space = np.array([t.startswith(b" ") for t in self.b_bytes])
         self.said = [f"{i}{c}" for i in range(max(len(self.a_bytes), len(pieces))) for c in AFTER]
@@ -85,7 +90,8 @@ class Aligner:
             return [], []
         whole = (" " + text).encode("utf-8", "surrogatepass")
         a, b = self.a.encode(" " + text), self.b.encode(text, num_threads=1)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+        # side A's tokens are stretches of the text in order, so that their lengths tell whether any is left out; side B changes some texts
+        if sum(map(self.a_len.__getitem__, a)) != len(whole) or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return [], []
         return a, b
 
@@ -96,8 +102,10 @@ class Aligner:
         """
         x, y = np.array(a, np.int32), np.array(b, np.int32)
         at_a, at_b = np.flatnonzero(self.a_space[x[1:]]), np.flatnonzero(self.b_space[y[1:]])
-        _, i, j = np.intersect1d(np.cumsum(self.a_sizes[x])[at_a], np.cumsum(self.b_sizes[y])[at_b], assume_unique=True, return_indices=True)
-        s, t = np.append(at_a[i] + 1, len(x)), np.append(at_b[j] + 1, len(y))  # ends of windows
+        x_end, y_end = np.cumsum(self.a_sizes[x]), np.cumsum(self.b_sizes[y])
+        of_a, of_b = np.zeros(x_end[-1] + 1, bool), np.zeros(x_end[-1] + 1, bool)  # by bytes: where a side may be cut
+        of_a[x_end[at_a]] = of_b[y_end[at_b]] = True
+        s, t = np.append(at_a[of_b[x_end[at_a]]] + 1, len(x)), np.append(at_b[of_a[y_end[at_b]]] + 1, len(y))  # ends of windows
         n, m = np.diff(s, prepend=0), np.diff(t, prepend=0)
         packed = np.empty(len(x) + len(y), np.int32)
         packed[np.arange(len(x)) + np.repeat(t - m, n)] = x
@@ -115,11 +123,14 @@ class Aligner:
         window, side_b = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys]), packed & B_SIDE != 0
         x, y, of_x, of_y = packed[~side_b], packed[side_b] ^ B_SIDE, window[~side_b], window[side_b]
         x_end, y_end = np.cumsum(self.a_sizes[x]), np.cumsum(self.b_sizes[y])
-        ends, shared = np.union1d(x_end, y_end), np.intersect1d(x_end, y_end, assume_unique=True)
-        i, j = np.searchsorted(x_end, ends), np.searchsorted(y_end, ends)
+        in_x, in_y = np.zeros(x_end[-1] + 1, np.int64), np.zeros(x_end[-1] + 1, np.int64)  # by bytes: 1 where a side's token ends
+        in_x[x_end] = in_y[y_end] = 1
+        ends, shared = np.flatnonzero(in_x | in_y), np.flatnonzero(in_x & in_y)
+        before_x, before_y, before_both = (np.cumsum(v) - v for v in (in_x, in_y, in_x & in_y))  # by bytes: how many ended before
+        i, j = before_x[ends], before_y[ends]
         links, of_link = x[i].astype(np.int64) << PAIR_BITS | y[j], of_x[i]
-        x_group, y_group = np.searchsorted(shared, x_end), np.searchsorted(shared, y_end)
-        of_group = of_x[np.searchsorted(x_end, shared)]
+        x_group, y_group = before_both[x_end], before_both[y_end]
+        of_group = of_x[before_x[shared]]
         # tokens by group and side, each followed by what the next one needs
         place = np.concatenate([x_group * 2, y_group * 2 + 1])
         order = np.argsort(place, kind="stable")
