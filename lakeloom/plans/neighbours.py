@@ -64,6 +64,14 @@ def centres_of(rows: DataFrame, width: int, cells: int, rounds: int = ROUNDS) ->
     return centres
 
 
+def least(d: np.ndarray, ids: np.ndarray, qid: int, k: int) -> list[int]:
+    """Places of the k least (distance, id) whose id isn't the query's."""
+    other = np.flatnonzero(ids != qid)
+    if len(other) > k:
+        other = other[d[other] <= np.partition(d[other], k - 1)[k - 1]]
+    return other[np.lexsort((ids[other], d[other]))][:k].tolist()
+
+
 class Index:
     """An inverted list over the rows of (id, vector).
 
@@ -74,8 +82,8 @@ class Index:
     def __init__(self, df: DataFrame, row_id: str, vector: str, width: int, cells: int | None = None):
         self.rows, self.width = saved(self.usable(df, row_id, vector, width)), width
         self.count = self.rows.count()
-        self.centres = centres_of(self.rows, width, cells or min(CELLS, isqrt(self.count) + 1))
-        self.listed = saved(in_cells(self.rows, self.centres)) if self.count else self.rows.selectExpr("*", "0 AS cell", "0D AS off")
+        self.centres = centres_of(self.rows, width, cells or min(CELLS, isqrt(self.count) + 1)) if self.count else np.zeros((0, width))
+        self.listed = saved(in_cells(self.rows, self.centres).withColumn("deal", F.monotonically_increasing_id()))
         self.size, self.radius = np.zeros(len(self.centres), dtype=np.int64), np.zeros(len(self.centres))
         for r in self.listed.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect():
             self.size[r.cell], self.radius[r.cell] = r.n, r.off
@@ -89,35 +97,52 @@ class Index:
     def nearest(self, queries: DataFrame, row_id: str, vector: str, k: int, probes: int, exact: bool = True) -> DataFrame:
         """(query_id, rank, id, distance): the k rows nearest to each query, itself (its id) left out; equal distances by id.
 
-        `probes` cells are searched first. With `exact`, so are all others that may hold a row as near as the
+        An id that comes more than once among the queries is asked once, with the least of its vectors. `probes`
+        cells are searched first. With `exact`, so are all others that may hold a row as near as the
         k-th found: those whose centre is no farther than that distance and the cell's radius together.
         """
         if not self.count:
             return self.rows.selectExpr("id AS query_id", "0 AS rank", "id", "0D AS distance")
-        asked = saved(self.usable(queries, row_id, vector, self.width).toDF("query_id", "q").withColumn("bound", F.lit(float("inf"))))
+        asked = self.usable(queries, row_id, vector, self.width).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("q"))
+        asked = saved(asked.withColumn("bound", F.lit(float("inf"))))
         found = saved(self._top(self._search(self._routes(asked, 0, probes), k), k))
         if exact:
-            kth = found.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound")).distinct()
+            kth = found.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
             bounded = asked.drop("bound").join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
             more = self._search(self._routes(bounded, probes, len(self.centres)), k)
             found = self._top(found.drop("rank").unionByName(more), k)
         return found.select("query_id", "rank", "id", "distance")
 
+    def recall(self, queries: DataFrame, row_id: str, vector: str, k: int, probes: int) -> float:
+        """The share of the exact answers that so many probes alone find."""
+        of = lambda exact: self.nearest(queries, row_id, vector, k, probes, exact).select("query_id", "id", F.lit(1).alias("n"))
+        near = of(False).withColumnRenamed("n", "met").distinct()
+        met, n = of(True).distinct().join(near, ["query_id", "id"], "left").agg(F.sum("met"), F.sum("n")).first()
+        return (met or 0) / n if n else 1.0
+
     def _routes(self, asked: DataFrame, first: int, last: int) -> DataFrame:
         """(query_id, q, cell) for the first..last-1 nearest cells of each query that its bound allows."""
         centres, radius, size = self.centres, self.radius, self.size
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, at, cells = b.column("query_id").to_pylist(), [], []
+                at, cells = [], []
+
+                def some(b: pa.RecordBatch = b, at: list = at, cells: list = cells) -> pa.RecordBatch:
+                    made = b.select(["query_id", "q"]).take(pa.array(at, pa.int64()))
+                    return pa.RecordBatch.from_arrays([*made.columns, pa.array(cells, pa.int32())], names=["query_id", "q", "cell"])
+
                 for i, (q, bound) in enumerate(zip(matrix(b.column("q"), centres.shape[1]), b.column("bound").to_pylist(), strict=True)):
                     far = from_centres(q, centres)
                     order = np.argsort(far, kind="stable")[first:last]
                     order = order[(size[order] > 0) & (far[order] - radius[order] <= bound + 2 * 10.0**-DECIMALS)]
                     at += [i] * len(order)
                     cells += order.tolist()
-                for s in range(0, len(at), 10000):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at[s : s + 10000]], pa.int64()), b.column("q").take(pa.array(at[s : s + 10000], pa.int64())), pa.array(cells[s : s + 10000], pa.int32())], names=["query_id", "q", "cell"])
+                    if len(at) > BLOCK:
+                        yield some()
+                        at.clear()
+                        cells.clear()
+                yield some()
 
         return asked.select("query_id", "q", "bound").mapInArrow(route, "query_id long, q array<double>, cell int")
 
@@ -131,9 +156,9 @@ class Index:
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         sizes = F.broadcast(routes.groupBy("cell").agg(blocks(F.count("*")).alias("query_blocks")))  # a row a cell
         held = F.broadcast(self.listed.groupBy("cell").agg(blocks(F.count("*")).alias("row_blocks")))
-        share = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-        one, each = lambda c, n: share(c, F.col(n)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        mine = self.listed.join(sizes, "cell").join(held, "cell").select("cell", one("v", "row_blocks").alias("rb") if False else F.pmod(F.xxhash64("id", "off"), F.col("row_blocks")).cast("int").alias("rb"), each("query_blocks").alias("qb"), "id", "v")
+        one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = self.listed.join(sizes, "cell").join(held, "cell").select("cell", one("deal", "row_blocks").alias("rb"), each("query_blocks").alias("qb"), "id", "v")
         theirs = routes.join(sizes, "cell").join(held, "cell").select("cell", each("row_blocks").alias("rb"), one("query_id", "query_blocks").alias("qb"), "query_id", "q")
         width = self.width
 
@@ -143,8 +168,7 @@ class Index:
                 v = matrix(rows.column("v").combine_chunks(), width)
                 for qid, q in zip(asked.column("query_id").to_pylist(), matrix(asked.column("q").combine_chunks(), width), strict=True):
                     d = np.round(from_centres(q, v), DECIMALS)
-                    best = [i for i in np.lexsort((ids, d)) if ids[i] != qid][:k] if len(d) <= 4 * k else self_free(d, ids, qid, k)
-                    out += [(qid, int(ids[i]), float(d[i])) for i in best]
+                    out += [(qid, int(ids[i]), float(d[i])) for i in least(d, ids, qid, k)]
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
             return pa.table({"query_id": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "distance": pa.array(c, pa.float64())})
 
@@ -156,14 +180,6 @@ class Index:
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def self_free(d: np.ndarray, ids: np.ndarray, qid: int, k: int) -> list[int]:
-    """Places of the k least (distance, id) whose id isn't the query's."""
-    other = np.flatnonzero(ids != qid)
-    if len(other) > k:
-        other = other[d[other] <= np.partition(d[other], k - 1)[k - 1]]
-    return other[np.lexsort((ids[other], d[other]))][:k].tolist()
-
-
 @query(
     "p30_nearest_neighbours",
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
