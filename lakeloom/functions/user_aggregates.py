@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from lakeloom.registry import query
-from lakeloom.tables import table
+from lakeloom.tables import saved, table
 
 #: Rows that one call of an aggregate function is given at most.
 BLOCK = 10_000
@@ -31,11 +31,13 @@ def in_blocks(df: DataFrame, keys: list[str], value: str, merge, name: str, bloc
     """(keys, name) by an aggregate function that merges its own results.
 
     Spark gives such a function all rows of a group at once; so rows are grouped in blocks of `block` first, and
-    the blocks' results again until a key has few: a key with all rows is spread over all tasks.
+    the blocks' results again until a key has few: a key with all rows is spread over all tasks. Blocks are
+    saved, so that a row stays in its block when tasks run again.
     """
     rows, n = df.select(*keys, F.col(value).alias(name)), df.count()
     while n > block:
-        rows = rows.groupBy(*keys, F.floor(F.monotonically_increasing_id() / block).alias("_block")).agg(merge(name).alias(name)).drop("_block")
+        dealt = saved(rows.withColumn("_block", F.floor(F.monotonically_increasing_id() / block)))
+        rows = dealt.groupBy(*keys, "_block").agg(merge(name).alias(name)).drop("_block")
         n = n // block
     return rows.groupBy(*keys).agg(merge(name).alias(name))
 
