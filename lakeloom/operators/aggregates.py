@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.percentiles import exact_percentiles, near_values
 from lakeloom.registry import query
-from lakeloom.tables import table, views
+from lakeloom.tables import saved, table, views
 
 
 @query(
@@ -83,37 +83,17 @@ for _name, _by in GROUPINGS.items():
               round(covar_pop(l_quantity, l_discount), 8) AS covariance FROM lineitem GROUP BY l_returnflag""",
 )
 def statistics(spark, sf_dir):
-    """Moments, and percentiles without a task that holds all values of a group."""
-    t = table(spark, sf_dir, "lineitem")
-    moments = t.groupBy("l_returnflag").agg(
+    """Moments and near values in one scan, the percentiles between these in a second one."""
+    t, places = table(spark, sf_dir, "lineitem"), {"l_quantity": 0.5, "l_extendedprice": 0.9}
+    moments = saved(t.groupBy("l_returnflag").agg(
         F.round(F.stddev_samp("l_extendedprice"), 4).alias("deviation"),
         F.round(F.var_pop("l_quantity"), 6).alias("variance"),
         F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("correlation"),
         F.round(F.covar_pop("l_quantity", "l_discount"), 8).alias("covariance"),
-    )
-    middle = exact_percentile(t, "l_returnflag", "l_quantity", 0.5, 10).select(F.col("l_returnflag").alias("flag"), F.col("percentile").alias("middle"))
-    p90 = exact_percentile(t, "l_returnflag", "l_extendedprice", 0.9, 500).select(F.col("l_returnflag").alias("flag"), F.round("percentile", 4).alias("p90"))
-    for each in (middle, p90):
-        moments = moments.join(each, F.col("l_returnflag").eqNullSafe(F.col("flag")), "left").drop("flag")
-    return moments
-
-
-def exact_percentile(df: DataFrame, group: str, value: str, p: float, width: float) -> DataFrame:
-    """(group, percentile): interpolated as percentile_cont does it; nulls don't count.
-
-    Values are counted in bands of `width`; running sums over the bands' counts tell which one or two hold
-    the place, and only their distinct values are ranked. So a hot group's values aren't gathered.
-    """
-    banded = df.where(F.col(value).isNotNull()).select(F.col(group), F.col(value).cast("double").alias("v"), F.floor(F.col(value) / width).alias("band"))
-    sizes = banded.groupBy(group, "band").agg(F.count("*").alias("n"))
-    every = Window.partitionBy(group)
-    placed = sizes.select(group, "band", (F.sum("n").over(every.orderBy("band")) - F.col("n")).alias("before"), "n", ((F.sum("n").over(every) - 1) * p).alias("at"))
-    wanted = placed.where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("n") > F.floor("at"))).select(F.col(group).alias("own"), F.col("band").alias("place"), "before", "at")
-    counts = banded.join(F.broadcast(wanted), F.col(group).eqNullSafe(F.col("own")) & (F.col("band") == F.col("place"))).groupBy(group, "band", "before", "at", "v").agg(F.count("*").alias("k"))  # two bands a group
-    ends = counts.withColumn("end", F.col("before") + F.sum("k").over(Window.partitionBy(group, "band").orderBy("v")))
-    holds = lambda i: F.max(F.when((F.col("end") > i) & (F.col("end") - F.col("k") <= i), F.col("v")))
-    found = ends.groupBy(group).agg(holds(F.floor("at")).alias("low"), holds(F.ceil("at")).alias("high"), F.first("at").alias("at"))
-    return found.select(group, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("percentile"))
+        *near_values(places),
+    ))
+    found = exact_percentiles(t, ["l_returnflag"], places, moments).select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("middle"), F.round("l_extendedprice", 4).alias("p90"))
+    return moments.join(found, F.col("l_returnflag").eqNullSafe(F.col("flag")), "left").select("l_returnflag", "deviation", "variance", "middle", "p90", "correlation", "covariance")
 
 
 @query(

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Imports all modules that register queries."""
     from lakeloom.functions import arrays, dates, nested, numbers, strings, udfs, user_aggregates  # noqa: F401
-    from lakeloom.operators import aggregates, assembly, copies, heavy, joins, reports, sets, sketches, subqueries, windows  # noqa: F401
+    from lakeloom.operators import aggregates, assembly, copies, heavy, joins, pareto, reports, sets, sketches, subqueries, windows  # noqa: F401
     from lakeloom.plans import intervals, neighbours, overlaps, vectors  # noqa: F401
     from lakeloom.sources import formats, scans  # noqa: F401
-    from lakeloom.streaming import batch_windows, stream_joins, streams, timers  # noqa: F401
+    from lakeloom.streaming import batch_windows, stream_joins, streams, timers, upserts  # noqa: F401

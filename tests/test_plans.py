@@ -73,23 +73,6 @@ def test_not_in_need_not_broadcast(spark):
     assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
 
 
-def test_exact_percentile_equals_sorting(spark):
-    import random
-
-    from lakeloom.operators.aggregates import exact_percentile
-
-    rng = random.Random(5)
-    rows = [("a", float(rng.randint(-40, 40)) / 3) for _ in range(101)] + [("b", 2.5)] + [("c", v) for v in (1.0, 1.0, 9.0, None)] + [(None, 4.0), (None, 6.0)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    for p in (0.0, 0.1, 0.5, 0.9, 1.0):
-        got = {r.g: r.percentile for r in exact_percentile(df, "g", "v", p, 7).collect()}
-        for g in ("a", "b", "c", None):
-            own = sorted(v for k, v in rows if k == g and v is not None)
-            at = (len(own) - 1) * p
-            low, high = own[int(at)], own[min(len(own) - 1, int(at) + (at > int(at)))]
-            assert abs(got[g] - (low + (high - low) * (at - int(at)))) < 1e-9
-
-
 def test_a_null_key_is_in_no_not_in(spark, tmp_path):
     spark.createDataFrame([(1, "x"), (None, "y"), (2, "z")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(1, 50.0), (None, 50.0)], "l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
