@@ -10,7 +10,8 @@ SCHEMA = "k long, seq long, v string, gone boolean"
 
 
 def rows_of(spark, target):
-    return sorted(tuple(r) for r in U.live(spark, target, spark.createDataFrame([], SCHEMA).schema, F.col("gone")).select("k", "v").collect(), key=str)
+    whole = U.live(spark, target, spark.createDataFrame([], SCHEMA).schema, F.col("gone")).select("k", "v")
+    return sorted(map(tuple, whole.collect()), key=str)
 
 
 def merge(spark, target, batch, rows):
