@@ -78,29 +78,43 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.a_bytes = self.a.bytes
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.a_len = list(map(len, self.a_bytes))
-        self.a_sizes, self.b_sizes = np.array(self.a_len), np.array(list(map(len, self.b_bytes)))
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t))) for t in (self.a_bytes, self.b_bytes))
+        self.b_start, self.b_flat = np.cumsum(self.b_sizes) - self.b_sizes, np.frombuffer(b"".join(self.b_bytes), np.uint8)
         self.a_space = np.array([t.startswith(b" ") for t in self.a_bytes])
         self.b_space = np.array([t.startswith(b" ") for t in self.b_bytes])
         self.said = [f"{i}{c}" for i in range(max(len(self.a_bytes), len(pieces))) for c in AFTER]
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Both sides' ids of a whole text; two empty lists unless both spell " " + text."""
+    def spelled(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Both sides' ids of a whole text; two empty arrays unless both spell " " + text."""
+        none = np.zeros(0, np.int32)
         if not text:
-            return [], []
+            return none, none
         whole = (" " + text).encode("utf-8", "surrogatepass")
-        a, b = self.a.encode(" " + text), self.b.encode(text, num_threads=1)
+        x, y = np.array(self.a.encode(" " + text), np.int32), np.array(self.b.encode(text, num_threads=1), np.int32)
         # side A's tokens are stretches of the text in order, so that their lengths tell whether any is left out; side B changes some texts
-        if sum(map(self.a_len.__getitem__, a)) != len(whole) or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return [], []
-        return a, b
+        if self.a_sizes[x].sum() != len(whole) or self.b_text(y) != whole:
+            return none, none
+        return x, y
+
+    def b_text(self, y: np.ndarray) -> bytes:
+        """The bytes of side B's tokens, copied out of those of all tokens."""
+        sizes = self.b_sizes[y]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.b_start[y] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.b_flat[at].tobytes()
+
+    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+        """spelled() as lists."""
+        x, y = self.spelled(text)
+        return x.tolist(), y.tolist()
 
-    def windows(self, a: list[int], b: list[int]) -> list[bytes]:
+    def windows(self, a: np.ndarray | list[int], b: np.ndarray | list[int]) -> list[bytes]:
         """A text's windows: the ids of each, packed as 32-bit integers, side A's and then side B's (marked by B_SIDE).
 
         They begin where both sides have a token end at the same byte, and a token that begins with a space next.
         """
-        x, y = np.array(a, np.int32), np.array(b, np.int32)
+        x, y = np.asarray(a, np.int32), np.asarray(b, np.int32)
         at_a, at_b = np.flatnonzero(self.a_space[x[1:]]), np.flatnonzero(self.b_space[y[1:]])
         x_end, y_end = np.cumsum(self.a_sizes[x]), np.cumsum(self.b_sizes[y])
         of_a, of_b = np.zeros(x_end[-1] + 1, bool), np.zeros(x_end[-1] + 1, bool)  # by bytes: where a side may be cut
@@ -146,9 +160,9 @@ class Aligner:
             p, g = q, h
         return out
 
-    def aligned(self, a: list[int], b: list[int]) -> list[tuple[bytes, str, bytes, bytes]]:
+    def aligned(self, a: np.ndarray | list[int], b: np.ndarray | list[int]) -> list[tuple[bytes, str, bytes, bytes]]:
         """align() of all windows of a text; those that were there before come from memory."""
-        if not a:
+        if not len(a):
             return []
         keys, memo = self.windows(a, b), self.memo
         out = list(map(memo.young.get, keys))
@@ -194,7 +208,7 @@ def align_documents(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_
     def rows(keys, values):
         at, out = aligner(a_path, b_path), [keys, [], [], [], [], [], []]
         for text in values:
-            a, b = at.encode(text)
+            a, b = at.spelled(text)
             windows = at.aligned(a, b)
             for column, value in zip(out[1:], (a, b, group_ends(windows, 0), group_ends(windows, 1), *pair_counts(windows)), strict=True):
                 column.append(value)
@@ -220,11 +234,12 @@ def summaries(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         for batch in C.pieces(batches):
             made = [[] for _ in out]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = at.encode(text)
+                a, b = at.spelled(text)
                 windows = at.aligned(a, b)
                 pairs, times = pair_counts(windows)
-                digest = hashlib.sha256(";".join([w[1] for w in windows]).encode()).hexdigest() if a else ""
-                for column, value in zip(made, (row, key, len(a), len(b), sum(len(w[2]) for w in windows) // 4, times.sum(), digest, pairs, times.astype(np.int32)), strict=True):
+                groups = ";".join([w[1] for w in windows])
+                digest = hashlib.sha256(groups.encode()).hexdigest() if windows else ""
+                for column, value in zip(made, (row, key, len(a), len(b), groups.count(";") + len(windows[:1]), times.sum(), digest, pairs, times.astype(np.int32)), strict=True):
                     column.append(value)
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, out, strict=True)], schema=out)
