@@ -77,3 +77,20 @@ def test_state_of_a_stream_join_is_bounded(spark, tmp_path):
         near = [b for b, u, _, t in buys if u == user and m <= t <= m + 360]
         want += [(c, b) for b in near] or ([(c, None)] if m + 360 < mark else [])
     assert got == sorted(want, key=lambda x: (x[0], x[1] or 0))
+
+
+def test_timers_are_fewer_than_spans(spark, tmp_path):
+    """One timer a group: the calls and timers don't grow with the users. Rows without a user are spans of their own."""
+    users = 3 * timers.GROUPS
+    rows = [(u if u else None, m, 1.0) for u in range(users) for m in (0, 5, 100)]
+    written(spark, tmp_path, 0, rows, "user_id long, minute long, paid double")
+    written(spark, tmp_path, 1, [(0, 120, None), (0, 300, 2.0)], "user_id long, minute long, paid double")
+    stream = spark.readStream.schema("user_id long, minute long, paid double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream = stream.withColumn("at", F.col("minute") * MINUTE + DAY).withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", "10 minutes")
+    progress = []
+    out = drained(timers.idle_spans(stream, 30 * MINUTE), conf=ROCKS, progress=progress)
+    got = [(r.user_id, (r.lo - DAY) // MINUTE, (r.hi - DAY) // MINUTE, r.n, r.spent) for r in out.select("user_id", F.unix_micros("active_from").alias("lo"), F.unix_micros("idle_from").alias("hi"), "n", "spent").collect()]
+    want = [(u if u else None, lo, hi, n, s) for u in range(users) for lo, hi, n, s in ((0, 5, 2, 2.0), (100, 100, 1, 1.0))] + [(0, 120, 120, 1, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [s.customMetrics.get("numRegisteredTimers", 0) for p in progress for s in p.stateOperators]
+    assert max(kept) > 0 and sum(kept) <= 4 * timers.GROUPS
