@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import starmap
 
@@ -30,6 +31,8 @@ PAIR_BITS = 32
 B_SIDE = 1 << 30
 #: Windows of more tokens than this are aligned anew each time.
 MEMO_TOKENS = 64
+#: Texts are aligned together until they have so many tokens (a text with more is alone).
+TOGETHER = 1 << 15
 #: Texts with so many characters in a row without a space, or of white space alone, are encoded by operator 4's automaton, which takes time in proportion to a word's length.
 LONG_RUN = 1000
 #: Counts of so many id pairs at most, the most frequent ones, are broadcast (16 bytes each).
@@ -114,18 +117,26 @@ class Aligner:
 
         They begin where both sides have a token end at the same byte, and a token that begins with a space next.
         """
-        x, y = np.asarray(a, np.int32), np.asarray(b, np.int32)
-        at_a, at_b = np.flatnonzero(self.a_space[x[1:]]), np.flatnonzero(self.b_space[y[1:]])
+        return self.windows_of([(a, b)])[0]
+
+    def windows_of(self, texts: list[tuple]) -> tuple[list[bytes], list[int]]:
+        """windows() of several texts that have tokens, one after the other, and where in the list those of each text end."""
+        x, y = (np.concatenate([t[side] for t in texts]).astype(np.int32, copy=False) for side in (0, 1))
+        last_a, last_b = (np.cumsum([len(t[side]) for t in texts]) for side in (0, 1))
+        cut_a, cut_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        cut_a[:-1], cut_b[:-1] = self.a_space[x[1:]], self.b_space[y[1:]]
+        cut_a[last_a - 1] = cut_b[last_b - 1] = True  # both sides of a text have the same bytes
+        at_a, at_b = np.flatnonzero(cut_a), np.flatnonzero(cut_b)
         x_end, y_end = np.cumsum(self.a_sizes[x]), np.cumsum(self.b_sizes[y])
         of_a, of_b = np.zeros(x_end[-1] + 1, bool), np.zeros(x_end[-1] + 1, bool)  # by bytes: where a side may be cut
         of_a[x_end[at_a]] = of_b[y_end[at_b]] = True
-        s, t = np.append(at_a[of_b[x_end[at_a]]] + 1, len(x)), np.append(at_b[of_a[y_end[at_b]]] + 1, len(y))  # ends of windows
+        s, t = at_a[of_b[x_end[at_a]]] + 1, at_b[of_a[y_end[at_b]]] + 1  # ends of windows
         n, m = np.diff(s, prepend=0), np.diff(t, prepend=0)
         packed = np.empty(len(x) + len(y), np.int32)
         packed[np.arange(len(x)) + np.repeat(t - m, n)] = x
         packed[np.arange(len(y)) + np.repeat(s, m)] = y | B_SIDE
         raw, ends = packed.tobytes(), ((s + t) * 4).tolist()
-        return list(map(raw.__getitem__, starmap(slice, zip([0, *ends], ends, strict=False))))
+        return list(map(raw.__getitem__, starmap(slice, zip([0, *ends], ends, strict=False)))), np.searchsorted(s, last_a, "right").tolist()
 
     def align(self, keys: list[bytes]) -> list[tuple[bytes, str, bytes, bytes]]:
         """Of each window: its links (64-bit id pairs in order), the text of its groups, and the groups' tokens on side A and B (32-bit numbers).
@@ -162,9 +173,14 @@ class Aligner:
 
     def aligned(self, a: np.ndarray | list[int], b: np.ndarray | list[int]) -> list[tuple[bytes, str, bytes, bytes]]:
         """align() of all windows of a text; those that were there before come from memory."""
-        if not len(a):
-            return []
-        keys, memo = self.windows(a, b), self.memo
+        return self.aligned_of([(a, b)])[0]
+
+    def aligned_of(self, texts: list[tuple]) -> list[list[tuple[bytes, str, bytes, bytes]]]:
+        """aligned() of several texts; their new windows are aligned together."""
+        full = [t for t in texts if len(t[0])]
+        if not full:
+            return [[] for _ in texts]
+        (keys, ends), memo = self.windows_of(full), self.memo
         out = list(map(memo.young.get, keys))
         gaps = [i for i, w in enumerate(out) if w is None]
         if gaps:
@@ -176,7 +192,8 @@ class Aligner:
             for k, w in here.items():
                 if len(k) <= 4 * MEMO_TOKENS:
                     memo.keep(k, w, 450 + 7 * len(k))  # objects' heads; key, links, sizes and text of its tokens
-        return out
+        each = (out[i:j] for i, j in zip([0, *ends], ends, strict=False))
+        return [next(each) if len(t[0]) else [] for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -218,6 +235,18 @@ def align_documents(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_
     return C.per_batch(df, [id_col, text_col], f"{id_col} {kind}, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>, pairs array<long>, times array<int>", rows)
 
 
+def aligned_together(at: Aligner, keys: list, values: list[str | None]) -> Iterator[tuple]:
+    """(key, ids of side A, ids of side B, aligned windows) of each text, in order; texts of TOGETHER tokens are worked on at once."""
+    waiting, tokens = [], 0
+    for i, (key, text) in enumerate(zip(keys, values, strict=True), 1):
+        waiting.append((key, *at.spelled(text)))
+        tokens += len(waiting[-1][1]) + len(waiting[-1][2])
+        if tokens >= TOGETHER or i == len(keys):
+            for row, windows in zip(waiting, at.aligned_of([w[1:] for w in waiting]), strict=True):
+                yield *row, windows
+            waiting, tokens = [], 0
+
+
 def pair_ids(pair) -> tuple:
     """The ids of sides A and B in a pair (numbers or columns)."""
     if isinstance(pair, int):
@@ -233,9 +262,7 @@ def summaries(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         at, row = aligner(a_path, b_path), TaskContext.get().partitionId() << 33
         for batch in C.pieces(batches):
             made = [[] for _ in out]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = at.spelled(text)
-                windows = at.aligned(a, b)
+            for key, a, b, windows in aligned_together(at, batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pairs, times = pair_counts(windows)
                 groups = ";".join([w[1] for w in windows])
                 digest = hashlib.sha256(groups.encode()).hexdigest() if windows else ""

@@ -155,3 +155,16 @@ def test_counts_by_broadcast_and_by_shuffle_agree(spark, most):
     assert frequent.count() <= most and (rest is None) == (most == 10_000)
     got, want = (sorted(map(tuple, T.judge_links(aligned, m).collect())) for m in (most, 1_000_000))
     assert got == want
+
+
+def test_new_windows_of_several_texts_are_aligned_at_once(monkeypatch):
+    texts = [f"{w} naïve {w}s  of {i}\n\n{w}" for i, w in enumerate(["plain", "\tüber", "漢字", "x" * 2500, "", None, " ", "</s>"] * 6)]
+    texts += ["", None]
+    at, one = T.Aligner(A_PATH, B_PATH), T.Aligner(A_PATH, B_PATH)
+    calls, align = [], at.align
+    monkeypatch.setattr(at, "align", lambda keys: calls.append(len(keys)) or align(keys))
+    got = [(k, a.tolist(), b.tolist(), w) for k, a, b, w in T.aligned_together(at, list(range(len(texts))), texts)]
+    want = [(k, *one.encode(t), one.aligned(*one.encode(t))) for k, t in enumerate(texts)]
+    assert got == want and len(calls) == 1
+    monkeypatch.setattr(T, "TOGETHER", 1)
+    assert [(k, a.tolist(), b.tolist(), w) for k, a, b, w in T.aligned_together(at, list(range(len(texts))), texts)] == want
